@@ -164,7 +164,7 @@ def table_rows(rows: DataFrame, with_losses: bool) -> DataFrame:
     """The same rows for display: group totals are authored '(total)' and empty
     cells are text."""
     shown = F.when(F.col("section") == "by_author_and_type_total", F.lit("(total)")).otherwise(
-        F.coalesce(F.col("author"), F.lit(""))
+        F.coalesce(F.col("author").cast("string"), F.lit(""))
     )
     cells = ["lines", *(["deleted", "net"] if with_losses else [])]
     return rows.select(
