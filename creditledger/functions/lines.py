@@ -19,7 +19,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditledger.functions.fixed_values import LINE_COMMENT_PREFIXES, WHITE_SPACE
@@ -51,33 +51,50 @@ def _bits(*flags: Column) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def trimmed_line_code(t: Column) -> Column:
-    """The packed code of a line that is already left-trimmed."""
-    plain = F.when(t == "", F.lit(_NEUTRAL)).otherwise(
-        F.lit(_ORDINARY) + F.when(is_line_comment(t), F.lit(0)).otherwise(F.lit(1))
-    )
+def line_parts(t: Column) -> list[Column]:
+    """What `trimmed_line_code` looks at, computed once: the left-trimmed line,
+    the places of the first open and close marker, and the text after the open."""
     opened = F.instr(t, OPEN)
-    closed = F.instr(t, CLOSE)
-    rest = F.substring(t, opened + 2, F.length(t))
-    reclosed = F.instr(rest, CLOSE)
+    after_open = F.when(opened > 0, F.substring(t, opened + 2, F.length(t)))
+    return [
+        t.alias("t"),
+        opened.alias("opened"),
+        F.instr(t, CLOSE).alias("closed"),
+        after_open.alias("after_open"),
+    ]
+
+
+def trimmed_line_code(parts: Column) -> Column:
+    """The packed code of a line from the struct of its `line_parts`."""
+    t, opened, closed, after_open = (parts[n] for n in ("t", "opened", "closed", "after_open"))
     code_line = ~is_line_comment(t)
-    starts = code_line & (opened > 0)
+    plain = F.when(t == "", F.lit(_NEUTRAL)).otherwise(
+        F.lit(_ORDINARY) + F.when(code_line, F.lit(1)).otherwise(F.lit(0))
+    )
+    reclosed = F.instr(after_open, CLOSE)
+    closes_again = F.coalesce(reclosed > 0, F.lit(False))
     with_markers = _bits(
         code_line
         & (
             (opened != 1)
-            | ((reclosed > 0) & _carries_code(F.substring(rest, reclosed + 2, F.length(t))))
+            | (closes_again & _carries_code(F.substring(after_open, reclosed + 2, F.length(t))))
         ),
         (closed > 0) & _carries_code(F.substring(t, closed + 2, F.length(t))),
-        starts & (reclosed == 0),
+        (opened > 0) & code_line & ~closes_again,
         closed == 0,
         F.lit(True),
     )
-    return F.when(~t.contains(OPEN) & ~t.contains(CLOSE), plain).otherwise(with_markers)
+    return F.when((opened == 0) & (closed == 0), plain).otherwise(with_markers)
 
 
-def line_code(content: Column) -> Column:
-    return trimmed_line_code(left_trimmed(content))
+def with_line_code(df: DataFrame, content: str, into: str) -> DataFrame:
+    """Adds the packed code of a line, in steps so that nothing is computed twice."""
+    return (
+        df.withColumn("_trimmed", left_trimmed(F.col(content)))
+        .withColumn("_parts", F.struct(*line_parts(F.col("_trimmed"))))
+        .withColumn(into, trimmed_line_code(F.col("_parts")))
+        .drop("_trimmed", "_parts")
+    )
 
 
 def bit(code: Column, position: int) -> Column:
@@ -110,7 +127,7 @@ def code_lines_in_text(content: Column) -> Column:
         )
 
     folded = F.aggregate(
-        F.transform(trimmed, trimmed_line_code),
+        F.transform(F.transform(trimmed, lambda t: F.struct(*line_parts(t))), trimmed_line_code),
         F.struct(F.lit(0).alias("inside"), F.lit(0).cast("bigint").alias("n")),
         step,
         lambda acc: acc["n"],

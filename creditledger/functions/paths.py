@@ -1,15 +1,14 @@
 """Path classification as Column expressions.
 
-Everything here is built-in string work on one column, without regular
-expressions where a prefix, suffix or substring test does, so the predicates
-stay inside whole-stage codegen and move below joins.
+Everything here is built-in string work on one column: membership tests on the
+extension and the base name, and one anchored alternation per family of names.
+The predicates stay JVM-side and move below joins.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +16,19 @@ from pyspark.sql import functions as F
 from creditledger.functions import fixed_values as fv
 
 
-def _any(tests: Iterable[Column]) -> Column:
-    return reduce(or_, tests)
+def _one_of(names: Iterable[str]) -> str:
+    return "(?:" + "|".join(re.escape(name) for name in names) + ")"
+
+
+_CONTAINER_NAME = rf"^{_one_of(fv.CODE_BASE_PREFIXES)}|{_one_of(fv.CODE_BASE_SUFFIXES)}\z"
+_TEST_NAME = (
+    r"_test\.go\z|_test\.py\z|^test_.*\.py\z"
+    rf"|\.(?:test|spec){_one_of(fv.SCRIPT_TEST_EXTENSIONS)}\z"
+)
+_JVM_TEST_NAME = rf"Tests?{_one_of(fv.JVM_TEST_EXTENSIONS)}\z|^conftest\.py\z"
+_SKIPPED = (
+    rf"(?:^|/){_one_of(fv.SKIPPED_DIRECTORIES)}/|{re.escape(fv.SKIPPED_DIRECTORY_SUFFIX)}/"
+)
 
 
 def base_name(path: Column) -> Column:
@@ -27,9 +37,7 @@ def base_name(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Lower-cased text from the last dot of the last path element, or ''."""
-    base = base_name(path)
-    dotted = F.concat(F.lit("."), F.substring_index(base, ".", -1))
-    return F.lower(F.when(base.contains("."), dotted).otherwise(F.lit("")))
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1))
 
 
 def segments(path: Column) -> Column:
@@ -37,8 +45,7 @@ def segments(path: Column) -> Column:
 
 
 def _has_segment(path: Column, names: Iterable[str]) -> Column:
-    fenced = F.concat(F.lit("/"), F.lower(path), F.lit("/"))
-    return _any(fenced.contains(f"/{name}/") for name in names)
+    return F.lower(path).rlike(rf"(?:^|/){_one_of(names)}(?:/|\z)")
 
 
 def language(path: Column) -> Column:
@@ -46,23 +53,21 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), extension(path)), F.lit("other"))
 
 
+def _has_known_extension(path: Column) -> Column:
+    return extension(path).isin(*fv.LANGUAGE_BY_EXTENSION)
+
+
 def is_code_file(path: Column) -> Column:
     """The gate for every report: a known extension or a container/lint file."""
     base = F.lower(base_name(path))
     return (
-        extension(path).isin(*fv.LANGUAGE_BY_EXTENSION)
-        | base.isin(*fv.CODE_BASENAMES)
-        | _any(base.startswith(p) for p in fv.CODE_BASE_PREFIXES)
-        | _any(base.endswith(s) for s in fv.CODE_BASE_SUFFIXES)
+        _has_known_extension(path) | base.isin(*fv.CODE_BASENAMES) | base.rlike(_CONTAINER_NAME)
     )
 
 
 def in_skipped_directory(path: Column) -> Column:
     """True if any directory above the file is one that an inventory leaves out."""
-    fenced = F.concat(F.lit("/"), path)
-    return _any(fenced.contains(f"/{name}/") for name in fv.SKIPPED_DIRECTORIES) | path.contains(
-        fv.SKIPPED_DIRECTORY_SUFFIX + "/"
-    )
+    return path.rlike(_SKIPPED)
 
 
 def is_build_file(path: Column) -> Column:
@@ -70,29 +75,15 @@ def is_build_file(path: Column) -> Column:
     return (
         extension(path).isin(*fv.QUADLET_EXTENSIONS, *fv.BUILD_EXTENSIONS)
         | base.isin(*fv.BUILD_BASENAMES, *fv.COMPOSE_BASENAMES)
-        | (base.startswith("tsconfig") & base.endswith(".json"))
-        | _any(base.startswith(p) for p in fv.CODE_BASE_PREFIXES)
-        | _any(base.endswith(s) for s in fv.CODE_BASE_SUFFIXES)
-        | F.concat(F.lit("/"), path).contains("/.github/")
+        | base.rlike(rf"(?s)^tsconfig.*\.json\z|{_CONTAINER_NAME}")
+        | path.rlike(r"(?:^|/)\.github/")
     )
 
 
 def is_test_filename(path: Column) -> Column:
-    raw = base_name(path)
-    base = F.lower(raw)
-    return (
-        (raw == "conftest.py")
-        | base.endswith("_test.go")
-        | base.endswith("_test.py")
-        | (base.startswith("test_") & base.endswith(".py"))
-        | _any(
-            base.endswith(mark + ext)
-            for ext in fv.SCRIPT_TEST_EXTENSIONS
-            for mark in (".test", ".spec")
-        )
-        # Case counts here: "Latest.java" is not a test.
-        | _any(raw.endswith(mark + ext) for ext in fv.JVM_TEST_EXTENSIONS for mark in ("Test", "Tests"))
-    )
+    base = base_name(path)
+    # Case counts for the JVM names: "Latest.java" is not a test.
+    return F.lower(base).rlike("(?s)" + _TEST_NAME) | base.rlike(_JVM_TEST_NAME)
 
 
 def is_test_path(path: Column) -> Column:
@@ -110,7 +101,7 @@ def file_type(path: Column) -> Column:
         F.when(is_build_file(path), "build")
         .when(ext.isin(*fv.SCRIPT_EXTENSIONS), "scripts")
         .when(ext.isin(*fv.DOCUMENTATION_EXTENSIONS), "documentation")
-        .when(~ext.isin(*fv.LANGUAGE_BY_EXTENSION), "other")
+        .when(~_has_known_extension(path), "other")
         .when(test & resource, "test_resources")
         .when(test, "test_code")
         .when(resource, "main_resources")

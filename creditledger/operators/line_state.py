@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditledger.functions.lines import bit, line_code
+from creditledger.functions.lines import bit, with_line_code
 
 RUN_LINES = 65_536
 
-_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
+_FIRST = Window.unboundedPreceding
 
 
 def _odd(count: Column) -> Column:
@@ -37,25 +37,31 @@ def _within_runs(
     """Adds per line: `_if0`/`_if1` (counts when the run starts outside/inside a
     comment), `_filled`, and on the last line of a run what the run does to the
     bit: `_sets` (0/1, NULL if it depends on the start) or `_flips`."""
-    coded = lines.select(
-        *keys,
-        *kept,
-        F.col(line_no).alias("_line"),
-        F.floor((F.col(line_no) - 1) / F.lit(run_lines)).cast("bigint").alias("_run"),
-        line_code(F.col(content)).alias("_code"),
-    )
+    coded = with_line_code(
+        lines.select(
+            *keys,
+            *kept,
+            F.col(line_no).alias("_line"),
+            F.floor((F.col(line_no) - 1) / F.lit(run_lines)).cast("bigint").alias("_run"),
+            F.col(content).alias("_content"),
+        ),
+        "_content",
+        "_code",
+    ).drop("_content")
     ordered = Window.partitionBy(*keys, "_run").orderBy("_line")
     opens, stays = bit(F.col("_code"), 2), bit(F.col("_code"), 3)
     flip = (opens == 1) & (stays == 0)
     # With `_turns` the flips so far, a line that sets the bit to v leaves
     # v XOR odd(_turns) behind, from which any later bit follows by XOR.
+    turns = F.sum(flip.cast("int")).over(ordered.rowsBetween(_FIRST, 0))
     marked = (
-        coded.withColumn("_turns", F.sum(flip.cast("int")).over(ordered.rowsBetween(_FIRST, 0)))
-        .withColumn("_end", F.lead("_line").over(ordered).isNull())
-        .withColumn("_mark", F.when(opens == stays, opens.bitwiseXOR(_odd(F.col("_turns")))))
-        .withColumn(
-            "_mark_before",
-            F.last("_mark", ignorenulls=True).over(ordered.rowsBetween(_FIRST, -1)),
+        coded.select("*", turns.alias("_turns"), F.lead("_line").over(ordered).isNull().alias("_end"))
+        .select("*", F.when(opens == stays, opens.bitwiseXOR(_odd(F.col("_turns")))).alias("_mark"))
+        .select(
+            "*",
+            F.last("_mark", ignorenulls=True)
+            .over(ordered.rowsBetween(_FIRST, -1))
+            .alias("_mark_before"),
         )
     )
     turned = _odd(F.col("_turns") - flip.cast("int"))

@@ -91,8 +91,12 @@ def report(entries: DataFrame, with_losses: bool) -> DataFrame:
     section, type, author, lines, share, percent, deleted, net, and the sort
     columns of `in_report_order`. Without losses `deleted` and `net` are NULL.
     """
-    groups = entries.groupBy("type").agg(_booked(LINES).alias("group_lines"))
-    grand_total = entries.agg(F.coalesce(_booked(LINES), F.lit(0)).alias("n")).scalar()
+    # What a row is a share of: its type for a pair, otherwise the grand total.
+    wholes = (
+        entries.groupingSets([[F.col("type")], []], F.col("type"))
+        .agg(F.grouping_id().cast("int").alias("_over_all"), _booked(LINES).alias("whole"))
+        .withColumnRenamed("type", "_whole_type")
+    )
     level = F.col("level")
     sections = (
         F.when(level == _PAIR, F.array(F.lit("by_author_and_type")))
@@ -102,14 +106,18 @@ def report(entries: DataFrame, with_losses: bool) -> DataFrame:
     )
     section = F.col("section")
     grouped = section.isin("by_author_and_type_total", "by_author_and_type")
-    whole = F.when(section == "by_author_and_type", F.col("group_lines")).otherwise(grand_total)
     value = F.when(section.isin("by_author_and_type_total", "total"), F.lit(100.0)).otherwise(
-        share(F.col("lines"), whole)
+        share(F.col("lines"), F.col("whole"))
     )
     rows = (
         rollup(entries)
-        .withColumn("type", F.when(level.isin(_PAIR, _TYPE), F.col("type")))
-        .join(groups, "type", "left")
+        .withColumn("_of", F.when(level == _PAIR, 0).otherwise(1))
+        .join(
+            wholes,
+            (F.col("_of") == F.col("_over_all"))
+            & F.when(level == _PAIR, F.col("type")).eqNullSafe(F.col("_whole_type")),
+            "left",
+        )
         .withColumn("section", F.explode(sections))
         .withColumn("share", value)
     )
@@ -128,7 +136,9 @@ def report(entries: DataFrame, with_losses: bool) -> DataFrame:
         .when(section == "by_author", 2)
         .otherwise(3)
         .alias("_block"),
-        F.when(grouped | (section == "by_type"), F.col("group_lines")).alias("_group"),
+        F.when(section == "by_author_and_type", F.col("whole"))
+        .when(grouped | (section == "by_type"), F.col("lines"))
+        .alias("_group"),
         (section == "by_author_and_type").cast("int").alias("_member"),
         F.when(section == "by_author", order_value).otherwise(F.col("lines")).alias("_value"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule
+from creditledger.sources.schemas import DRIVER_TABLES
 
 WINDOW_AFTER, WINDOW_UNTIL = "2024-01-10", "2024-01-20"
 FROM_SEQ, TO_SEQ = 30, 80
@@ -41,7 +42,7 @@ ALIAS_ROWS = (
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(DRIVER_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def window_bounds() -> tuple[Column, Column]:
@@ -103,10 +104,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, n = F.col("doc_id"), F.col("n")
     return (
         read(spark, sf_dir, "documents")
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
+        .select("doc_id", path_of(doc_id).alias("path"), "text")
+        .select("doc_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("n", "l"))
         .select(
             "doc_id",
-            path_of(doc_id).alias("path"),
+            "path",
             (n + 1).cast("bigint").alias("line_no"),
             _marked(doc_id, n, F.col("l")).alias("content"),
             _author_of(doc_id, n).alias("raw_author"),

@@ -42,37 +42,34 @@ def parse_dump_records(records: DataFrame) -> DataFrame:
 
     Only records of one split are sorted together. The last header of a split
     takes the first content of the next split of the file that has records;
-    that second branch reads the columns of the first, hence its exchange.
+    that branch reads the same columns as the other, hence the same exchange.
     """
     header = F.col("_header")
-    parsed = (
-        records.withColumn("_header", _header(F.col("value")))
-        .select(
-            "file",
-            "split",
-            "seq",
-            F.regexp_extract(header, r"^(\S+)", 1).alias("commit_id"),
-            F.regexp_extract(header, r"^\S+[ \t]+\S+[ \t]+(\d+)", 1).try_cast("bigint").alias("line_no"),
-            F.regexp_extract(header, r"\nauthor ([^\n]*)", 1).alias("author"),
-            header.contains("\nboundary\n").alias("boundary"),
-            F.substring_index("value", "\n", 1).alias("_text"),
-        )
+    parsed = records.select(
+        "file", "split", "seq", "value", _header(F.col("value")).alias("_header")
+    ).select(
+        "file",
+        "split",
+        "seq",
+        F.regexp_extract(header, r"^(\S+)", 1).alias("commit_id"),
+        F.regexp_extract(header, r"^\S+[ \t]+\S+[ \t]+(\d+)", 1).try_cast("bigint").alias("line_no"),
+        F.regexp_extract(header, r"\nauthor ([^\n]*)", 1).alias("author"),
+        header.contains("\nboundary\n").alias("boundary"),
+        F.substring_index("value", "\n", 1).alias("_text"),
     )
     head = ["commit_id", "line_no", "author", "boundary"]
     ordered = Window.partitionBy("file", "split").orderBy("seq")
-    inside = (
-        parsed.withColumn("content", F.lead("_text").over(ordered))
-        .filter(F.col("content").isNotNull())
-        .select("file", *head, "content")
-    )
-    edges = parsed.groupBy("file", "split").agg(
-        F.max(F.struct("seq", *head)).alias("_last"), F.min(F.struct("seq", "_text")).alias("_first")
+    paired = parsed.select(
+        "*",
+        F.lead("_text").over(ordered).alias("content"),
+        F.first("_text").over(ordered).alias("_first"),
     )
-    following = F.lead("_first._text").over(Window.partitionBy("file").orderBy("split"))
+    inside = paired.filter(F.col("content").isNotNull()).select("file", *head, "content")
+    following = F.lead("_first").over(Window.partitionBy("file").orderBy("split"))
     across = (
-        edges.withColumn("content", following)
+        paired.filter(F.col("content").isNull())
+        .select("file", *head, following.alias("content"))
         .filter(F.col("content").isNotNull())
-        .select("file", *(F.col(f"_last.{name}").alias(name) for name in head), "content")
     )
     return inside.unionByName(across)
 

@@ -3,11 +3,13 @@
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
 )
 
 
@@ -50,3 +52,19 @@ _MAPPING = StructType(
 )
 
 AUTHOR_CONFIG = StructType([StructField("authors", ArrayType(_MAPPING))])
+
+# The driver's tables that the registered queries read.
+DRIVER_TABLES = {
+    "events": _struct(
+        event_id=LongType, ts=TimestampNTZType, user_id=LongType, event_type=StringType,
+        value=DoubleType, props=StringType,
+    ),
+    "documents": _struct(
+        doc_id=LongType, text=StringType, lang=StringType, source=StringType, n_chars=LongType
+    ),
+    "labels": _struct(doc_id=LongType, quality=IntegerType, toxic=IntegerType),
+    "customer": _struct(
+        c_custkey=LongType, c_name=StringType, c_nationkey=IntegerType, c_acctbal=DoubleType,
+        c_mktsegment=StringType,
+    ),
+}
