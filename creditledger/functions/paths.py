@@ -31,6 +31,24 @@ _SKIPPED = (
 )
 
 
+def unquoted_path(path: Column) -> Column:
+    """Undo quoting: "a/\\303\\244.md" holds its bytes as octal escapes."""
+    inner = F.regexp_extract(path, r'^"(.*)"$', 1)
+    pieces = F.split(inner, r"\\(?=[0-7]{3})")
+    as_hex = F.transform(
+        pieces,
+        lambda piece, i: F.when(i == 0, F.hex(F.encode(piece, "UTF-8"))).otherwise(
+            F.concat(
+                F.lpad(F.conv(F.substring(piece, 1, 3), 8, 16), 2, "0"),
+                F.hex(F.encode(F.substring(piece, 4, 2**31 - 1), "UTF-8")),
+            )
+        ),
+    )
+    text = F.decode(F.unhex(F.array_join(as_hex, "")), "UTF-8")
+    plain = F.regexp_replace(text, r'\\(["\\])', "$1")
+    return F.when(path.startswith('"'), plain).otherwise(path)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -70,6 +88,10 @@ def in_skipped_directory(path: Column) -> Column:
     return path.rlike(_SKIPPED)
 
 
+def is_skipped_name(directory: str) -> bool:
+    return directory in fv.SKIPPED_DIRECTORIES or directory.endswith(fv.SKIPPED_DIRECTORY_SUFFIX)
+
+
 def is_build_file(path: Column) -> Column:
     base = F.lower(base_name(path))
     return (

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from creditledger.functions.paths import unquoted_path
+
 # The layout of a block.
 SEPARATOR = "\n\t"
 _HASH_LINE = r"[0-9a-f]{40}[ \t]+\S+[ \t]+\S+(?:[ \t]+\S+)?[ \t]*"
@@ -19,7 +21,8 @@ _LAST_HEADER = rf"(?s)^(?:.*\n)?({_HASH_LINE}\n.*)$"
 
 
 def read_dump_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, seq, value. `split` is the byte offset of the input split and
+    """file, split, seq, value of all dumps below `path`; names that start with
+    '.' or '_' are no input files for Spark, so give dumps other names. `split` is the byte offset of the input split and
     `seq` counts on inside it, so (split, seq) is the order within a file."""
     return (
         spark.read.text(path, lineSep=SEPARATOR)
@@ -38,7 +41,7 @@ def _header(value: Column) -> Column:
 
 
 def parse_dump_records(records: DataFrame) -> DataFrame:
-    """file, commit_id, line_no, author, boundary, content: one row per block.
+    """file, commit_id, path, line_no, author, boundary, content: one row per block.
 
     Only records of one split are sorted together. The last header of a split
     takes the first content of the next split of the file that has records;
@@ -53,11 +56,12 @@ def parse_dump_records(records: DataFrame) -> DataFrame:
         "seq",
         F.regexp_extract(header, r"^(\S+)", 1).alias("commit_id"),
         F.regexp_extract(header, r"^\S+[ \t]+\S+[ \t]+(\d+)", 1).try_cast("bigint").alias("line_no"),
+        unquoted_path(F.regexp_extract(header, r"\nfilename ([^\n]*)", 1)).alias("path"),
         F.regexp_extract(header, r"\nauthor ([^\n]*)", 1).alias("author"),
         header.contains("\nboundary\n").alias("boundary"),
         F.substring_index("value", "\n", 1).alias("_text"),
     )
-    head = ["commit_id", "line_no", "author", "boundary"]
+    head = ["commit_id", "path", "line_no", "author", "boundary"]
     ordered = Window.partitionBy("file", "split").orderBy("seq")
     paired = parsed.select(
         "*",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, parse_ignore_rules
 from creditledger.functions.lines import split_lines
+from creditledger.functions.paths import is_skipped_name
 from creditledger.sources.schemas import AUTHOR_CONFIG
 
 # A configuration file is read by the driver; one beyond this is refused.
@@ -20,36 +25,76 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
 
 
-def _small_file(spark: SparkSession, path: str) -> str | None:
-    if not path_exists(spark, path):
+def _small_file(path: str) -> str | None:
+    store, inner = pafs.FileSystem.from_uri(path)
+    info = store.get_file_info(inner)
+    if info.type != pafs.FileType.File:
         return None
-    rows = (
-        spark.read.format("binaryFile").load(path)
-        .filter(F.col("length") <= MAX_CONFIG_BYTES)
-        .select(F.decode("content", "UTF-8"))
-        .take(1)
-    )
-    if not rows:
-        raise ValueError(f"{path} is empty of files or larger than {MAX_CONFIG_BYTES} bytes")
-    return rows[0][0]
+    if info.size > MAX_CONFIG_BYTES:
+        raise ValueError(f"{path} is larger than {MAX_CONFIG_BYTES} bytes")
+    with store.open_input_stream(inner) as stream:
+        return stream.read().decode("utf-8", errors="replace")
 
 
-def read_file_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to `root`), content of every file below `root`.
+def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True) -> DataFrame:
+    """root, path (relative to it), size of every file below the given folders.
 
-    Only the columns a query uses are loaded: an inventory of paths reads no
-    content. Trees with many small files are better kept as one table with the
-    same columns.
+    Spark's own readers skip names that start with '.' or '_', among them
+    `__init__.py` and `.github/`; this walk does not. One task per root lists
+    names only, directory by directory; directories that no inventory takes are
+    not entered.
     """
-    base = root.rstrip("/") + "/"
-    relative = F.regexp_replace(
-        F.substring_index(F.col("path"), base, -1), r"^/+", ""
-    )
+
+    listed = pa.schema([("root", pa.string()), ("path", pa.string()), ("size", pa.int64())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root in batch["root"].to_pylist():
+                store, base = pafs.FileSystem.from_uri(root)
+                base = base.rstrip("/")
+                waiting = [base]
+                while waiting:
+                    found = store.get_file_info(pafs.FileSelector(waiting.pop()))
+                    waiting += [
+                        f.path
+                        for f in found
+                        if f.type == pafs.FileType.Directory
+                        and not (prune and is_skipped_name(f.base_name))
+                    ]
+                    files = [f for f in found if f.type == pafs.FileType.File]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "root": [root] * len(files),
+                            "path": [f.path[len(base) + 1 :] for f in files],
+                            "size": [f.size for f in files],
+                        },
+                        listed,
+                    )
+
+    named = spark.createDataFrame([(root,) for root in roots], "root string")
+    return named.repartition(len(roots)).mapInArrow(walk, "root string, path string, size long")
+
+
+def with_content(listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Adds `content` to rows with root and path, read by `partitions` tasks.
+    Filter the listing first: only files still in it are opened."""
+
+    loaded = pa.schema([("root", pa.string()), ("path", pa.string()), ("content", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, path in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
+                store, base = pafs.FileSystem.from_uri(root)
+                with store.open_input_stream(base.rstrip("/") + "/" + path) as stream:
+                    text = stream.read().decode("utf-8", errors="replace")
+                row = {"root": [root], "path": [path], "content": [text]}
+                yield pa.RecordBatch.from_pydict(row, loaded)
+
+    spread = partitions or 4 * listing.sparkSession.sparkContext.defaultParallelism
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
+        listing.select("root", "path")
+        .repartition(spread, "root", "path")
+        .mapInArrow(read, "root string, path string, content string")
     )
 
 
@@ -92,7 +137,7 @@ def alias_table(mappings: DataFrame) -> DataFrame:
     return of("email", "emails").unionByName(of("name", "names"))
 
 
-def read_ignore_rules(spark: SparkSession, path: str) -> list[IgnoreRule]:
+def read_ignore_rules(path: str) -> list[IgnoreRule]:
     """The ordered rules of one ignore file; none if there is no such file."""
-    text = _small_file(spark, path)
+    text = _small_file(path)
     return [] if text is None else parse_ignore_rules(text)

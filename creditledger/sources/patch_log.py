@@ -7,10 +7,10 @@ splits at any commit and everything else happens inside a row: no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditledger.functions.paths import is_code_file
+from creditledger.functions.paths import is_code_file, unquoted_path
 
 COMMIT_MARKER = "@@COMMIT@@:"
 
@@ -29,24 +29,6 @@ def read_patch_records(spark: SparkSession, path: str, marker: str = COMMIT_MARK
     )
 
 
-def _unquoted(path: Column) -> Column:
-    """Undo quoting: "a/\\303\\244.md" holds its bytes as octal escapes."""
-    inner = F.regexp_extract(path, r'^"(.*)"$', 1)
-    pieces = F.split(inner, r"\\(?=[0-7]{3})")
-    as_hex = F.transform(
-        pieces,
-        lambda piece, i: F.when(i == 0, F.hex(F.encode(piece, "UTF-8"))).otherwise(
-            F.concat(
-                F.lpad(F.conv(F.substring(piece, 1, 3), 8, 16), 2, "0"),
-                F.hex(F.encode(F.substring(piece, 4, 2**31 - 1), "UTF-8")),
-            )
-        ),
-    )
-    text = F.decode(F.unhex(F.array_join(as_hex, "")), "UTF-8")
-    plain = F.regexp_replace(text, r'\\(["\\])', "$1")
-    return F.when(path.startswith('"'), plain).otherwise(path)
-
-
 def parse_patch_records(records: DataFrame) -> DataFrame:
     """commit_id, deleting_author, path, start, cnt: hunks that delete lines of
     code files. A header is only looked for ahead of the first hunk of a file,
@@ -55,7 +37,7 @@ def parse_patch_records(records: DataFrame) -> DataFrame:
     patch = F.col("_patch")
     head = F.concat(F.lit("\n"), F.split(patch, r"\n@@ ", 2)[0], F.lit("\n"))
     old = F.regexp_extract(head, r"\n--- ([^\n]*)\n", 1)
-    old = F.regexp_replace(_unquoted(F.regexp_replace(old, r"\t+$", "")), "^a/", "")
+    old = F.regexp_replace(unquoted_path(F.regexp_replace(old, r"\t+$", "")), "^a/", "")
     ranges = F.split(F.col("_range"), ",")
     return (
         records.select(

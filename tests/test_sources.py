@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from creditledger.operators.facts import window_facts
 from creditledger.sources.blame_dump import read_blame_dump
-from creditledger.sources.files import explode_lines, read_author_config, read_file_tree, read_ignore_rules
+from creditledger.operators.files import inventory
+from creditledger.sources.files import explode_lines, list_trees, read_author_config, read_ignore_rules, with_content
 from creditledger.sources.patch_log import parse_patch_records, read_patch_log
 
 
@@ -148,7 +149,7 @@ def test_dump_feeds_the_range_report(spark, tmp_path):
     text, rows = dump("z", 40)
     (tmp_path / "z.md").write_bytes(text.encode())
     lines = read_blame_dump(spark, str(tmp_path)).select(
-        F.lit("z.md").alias("path"), "line_no", "content", F.col("author").alias("raw_author"),
+        F.replace("path", F.lit(".py"), F.lit(".md")).alias("path"), "line_no", "content", F.col("author").alias("raw_author"),
         F.when(F.col("boundary"), 0).otherwise(1).alias("touch_seq"))
     facts = window_facts(lines, read_author_config(spark, None), after=0).collect()
     want = {}
@@ -170,17 +171,28 @@ def test_author_config(spark, tmp_path):
     assert read_author_config(spark, str(tmp_path / "missing.json")).count() == 0
 
 
-def test_ignore_file(spark, tmp_path):
+def test_ignore_file(tmp_path):
     (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n")
-    assert [r.negate for r in read_ignore_rules(spark, str(tmp_path / ".gitignore"))] == [False, True]
-    assert read_ignore_rules(spark, str(tmp_path / "none")) == []
+    assert [r.negate for r in read_ignore_rules(str(tmp_path / ".gitignore"))] == [False, True]
+    assert read_ignore_rules(str(tmp_path / "none")) == []
 
 
 def test_file_tree_and_lines(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a b.py").write_bytes("x\r\ny\n".encode())
-    (tmp_path / "top.md").write_text("one")
-    files = read_file_tree(spark, str(tmp_path))
-    assert {r.path: r.content for r in files.collect()} == {"src/a b.py": "x\r\ny\n", "top.md": "one"}
-    lines = sorted(tuple(r) for r in explode_lines(files, ["path"]).collect())
+    texts = {
+        "one/src/a b.py": "x\r\ny\n", "one/top.md": "one", "one/pkg/__init__.py": "", "one/.github/ci.yml": "on:",
+        "one/node_modules/m/i.js": "x", "one/e.egg-info/t.txt": "x", "one/logo.svg": "<svg/>", "two/_x.go": "é",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    roots = [str(tmp_path / "one"), str(tmp_path / "two") + "/"]
+    listing = list_trees(spark, roots)
+    assert {r.path for r in listing.collect()} == {
+        "src/a b.py", "top.md", "pkg/__init__.py", ".github/ci.yml", "logo.svg", "_x.go"}
+    assert list_trees(spark, roots, prune=False).count() == len(texts)
+    files = with_content(inventory(listing), partitions=3)
+    got = {(r.root.rstrip("/")[-3:] + "/" + r.path): r.content for r in files.collect()}
+    kept = ["one/src/a b.py", "one/top.md", "one/pkg/__init__.py", "one/.github/ci.yml", "two/_x.go"]
+    assert got == {name: texts[name] for name in kept}
+    lines = sorted(tuple(r) for r in explode_lines(files, ["path"]).collect() if r.path in ("src/a b.py", "top.md"))
     assert lines == [("src/a b.py", 1, "x\r"), ("src/a b.py", 2, "y"), ("src/a b.py", 3, ""), ("top.md", 1, "one")]
