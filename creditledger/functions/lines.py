@@ -16,83 +16,72 @@ the marker" do not depend on trailing white space.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditledger.functions.fixed_values import LINE_COMMENT_PREFIXES, WHITE_SPACE
 
-OPEN, CLOSE = "/*", "*/"
-_ORDINARY = 8 + 16
-_NEUTRAL = 8
+_SPACES = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
 
 
-def left_trimmed(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITE_SPACE))
+# The rules are SQL text, shared by the line tables, where they are applied to a
+# column, and by whole files, where they are applied inside an array.
 
 
-def is_blank(text: Column) -> Column:
-    return left_trimmed(text) == ""
+def _trimmed(text: str) -> str:
+    return f"TRIM(LEADING '{_SPACES}' FROM {text})"
 
 
-def is_line_comment(trimmed: Column) -> Column:
-    return reduce(or_, [trimmed.startswith(prefix) for prefix in LINE_COMMENT_PREFIXES])
+def _comment(trimmed: str) -> str:
+    return "(" + " OR ".join(f"startswith({trimmed}, '{p}')" for p in LINE_COMMENT_PREFIXES) + ")"
 
 
-def _carries_code(text: Column) -> Column:
-    rest = left_trimmed(text)
-    return (rest != "") & ~is_line_comment(rest)
+def _carries_code(text: str) -> str:
+    return f"({_trimmed(text)} <> '' AND NOT {_comment(_trimmed(text))})"
 
 
-def _bits(*flags: Column) -> Column:
-    parts = [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags)]
-    return reduce(lambda a, b: a + b, parts)
+def _parts(t: str) -> str:
+    """What the code of a line looks at: the trimmed line, the places of its first
+    open and close marker (0 if none) and the text after the open. `contains`
+    compares bytes; the slower search by character only follows a hit."""
+    return f"""named_struct(
+        't', {t},
+        'opened', CASE WHEN contains({t}, '/*') THEN instr({t}, '/*') ELSE 0 END,
+        'closed', CASE WHEN contains({t}, '*/') THEN instr({t}, '*/') ELSE 0 END,
+        'after_open', CASE WHEN contains({t}, '/*') THEN substr({t}, instr({t}, '/*') + 2) END)"""
 
 
-def line_parts(t: Column) -> list[Column]:
-    """What `trimmed_line_code` looks at, computed once: the left-trimmed line,
-    the places of the first open and close marker, and the text after the open."""
-    opened = F.instr(t, OPEN)
-    after_open = F.when(opened > 0, F.substring(t, opened + 2, F.length(t)))
-    return [
-        t.alias("t"),
-        opened.alias("opened"),
-        F.instr(t, CLOSE).alias("closed"),
-        after_open.alias("after_open"),
-    ]
+def _code(p: str) -> str:
+    comment = _comment(f"{p}.t")
+    closes_again = f"coalesce(contains({p}.after_open, '*/'), false)"
+    after_both = f"substr({p}.after_open, instr({p}.after_open, '*/') + 2)"
+    after_close = f"substr({p}.t, {p}.closed + 2)"
+    return f"""CASE
+        WHEN {p}.opened = 0 AND {p}.closed = 0
+        THEN CASE WHEN {p}.t = '' THEN 8 WHEN {comment} THEN 8 + 16 ELSE 1 + 8 + 16 END
+        ELSE 16
+          + IF(NOT {comment} AND ({p}.opened <> 1 OR ({closes_again} AND {_carries_code(after_both)})), 1, 0)
+          + IF({p}.closed > 0 AND {_carries_code(after_close)}, 2, 0)
+          + IF({p}.opened > 0 AND NOT {comment} AND NOT {closes_again}, 4, 0)
+          + IF({p}.closed = 0, 8, 0)
+        END"""
 
 
-def trimmed_line_code(parts: Column) -> Column:
-    """The packed code of a line from the struct of its `line_parts`."""
-    t, opened, closed, after_open = (parts[n] for n in ("t", "opened", "closed", "after_open"))
-    code_line = ~is_line_comment(t)
-    plain = F.when(t == "", F.lit(_NEUTRAL)).otherwise(
-        F.lit(_ORDINARY) + F.when(code_line, F.lit(1)).otherwise(F.lit(0))
-    )
-    reclosed = F.instr(after_open, CLOSE)
-    closes_again = F.coalesce(reclosed > 0, F.lit(False))
-    with_markers = _bits(
-        code_line
-        & (
-            (opened != 1)
-            | (closes_again & _carries_code(F.substring(after_open, reclosed + 2, F.length(t))))
-        ),
-        (closed > 0) & _carries_code(F.substring(t, closed + 2, F.length(t))),
-        (opened > 0) & code_line & ~closes_again,
-        closed == 0,
-        F.lit(True),
-    )
-    return F.when((opened == 0) & (closed == 0), plain).otherwise(with_markers)
+def left_trimmed(column: str) -> Column:
+    return F.expr(_trimmed(column))
+
+
+def is_line_comment(column: str) -> Column:
+    """For a left-trimmed column."""
+    return F.expr(_comment(column))
 
 
 def with_line_code(df: DataFrame, content: str, into: str) -> DataFrame:
     """Adds the packed code of a line, in steps so that nothing is computed twice."""
     return (
-        df.withColumn("_trimmed", left_trimmed(F.col(content)))
-        .withColumn("_parts", F.struct(*line_parts(F.col("_trimmed"))))
-        .withColumn(into, trimmed_line_code(F.col("_parts")))
+        df.selectExpr("*", f"{_trimmed(content)} AS _trimmed")
+        .selectExpr("*", f"{_parts('_trimmed')} AS _parts")
+        .selectExpr("*", f"{_code('_parts')} AS {into}")
         .drop("_trimmed", "_parts")
     )
 
@@ -105,38 +94,23 @@ def split_lines(content: Column) -> Column:
     return F.split(content, "\n", -1)
 
 
-def nonblank_lines_in_text(content: Column) -> Column:
-    trimmed = F.transform(split_lines(content), left_trimmed)
-    return F.size(F.filter(trimmed, lambda t: t != "")).cast("bigint")
-
-
-def code_lines_in_text(content: Column) -> Column:
+def countable_lines_in_text(content: str, type_: str) -> Column:
     """Countable lines of a whole file held in one column, folded in place.
 
-    No line leaves its row, so counting a table of files needs no shuffle.
-    Text without block markers, the usual case, is a plain filter.
+    Documentation counts every line that is not blank, other types skip
+    comments. No line leaves its row, so counting a table of files needs no
+    shuffle. Text without block markers, the usual case, is a plain filter.
     """
-    trimmed = F.transform(split_lines(content), left_trimmed)
-    simple = F.size(F.filter(trimmed, lambda t: (t != "") & ~is_line_comment(t))).cast("bigint")
-
-    def step(acc: Column, code: Column) -> Column:
-        inside = acc["inside"]
-        return F.struct(
-            F.when(inside == 1, bit(code, 3)).otherwise(bit(code, 2)).alias("inside"),
-            (acc["n"] + F.when(inside == 1, bit(code, 1)).otherwise(bit(code, 0))).alias("n"),
-        )
-
-    folded = F.aggregate(
-        F.transform(F.transform(trimmed, lambda t: F.struct(*line_parts(t))), trimmed_line_code),
-        F.struct(F.lit(0).alias("inside"), F.lit(0).cast("bigint").alias("n")),
-        step,
-        lambda acc: acc["n"],
-    )
-    return F.when(~content.contains(OPEN) & ~content.contains(CLOSE), simple).otherwise(folded)
-
-
-def countable_lines_in_text(content: Column, type_: Column) -> Column:
-    """Documentation counts every line that is not blank, other types skip comments."""
-    return F.when(type_ == "documentation", nonblank_lines_in_text(content)).otherwise(
-        code_lines_in_text(content)
-    )
+    trimmed = f"transform(split({content}, '\n', -1), l -> {_trimmed('l')})"
+    folded = f"""aggregate(
+        transform(transform({trimmed}, t -> {_parts('t')}), p -> {_code('p')}),
+        named_struct('inside', 0, 'n', 0L),
+        (acc, code) -> named_struct(
+            'inside', shiftright(code, 2 + acc.inside) & 1,
+            'n', acc.n + (shiftright(code, acc.inside) & 1)),
+        acc -> acc.n)"""
+    return F.expr(f"""CASE
+        WHEN {type_} = 'documentation' THEN CAST(size(filter({trimmed}, t -> t <> '')) AS BIGINT)
+        WHEN contains({content}, '/*') OR contains({content}, '*/') THEN {folded}
+        ELSE CAST(size(filter({trimmed}, t -> t <> '' AND NOT {_comment('t')})) AS BIGINT)
+        END""")

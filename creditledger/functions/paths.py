@@ -20,15 +20,31 @@ def _one_of(names: Iterable[str]) -> str:
     return "(?:" + "|".join(re.escape(name) for name in names) + ")"
 
 
-_CONTAINER_NAME = rf"^{_one_of(fv.CODE_BASE_PREFIXES)}|{_one_of(fv.CODE_BASE_SUFFIXES)}\z"
-_TEST_NAME = (
-    r"_test\.go\z|_test\.py\z|^test_.*\.py\z"
+# Matched against the lower-cased base name.
+_KNOWN_EXTENSION = rf"{_one_of(fv.LANGUAGE_BY_EXTENSION)}\z"
+_SCRIPT = rf"{_one_of(fv.SCRIPT_EXTENSIONS)}\z"
+_DOCUMENTATION = rf"{_one_of(fv.DOCUMENTATION_EXTENSIONS)}\z"
+_CONTAINER = rf"^{_one_of(fv.CODE_BASE_PREFIXES)}|{_one_of(fv.CODE_BASE_SUFFIXES)}\z"
+_CODE = rf"{_KNOWN_EXTENSION}|^{_one_of(fv.CODE_BASENAMES)}\z|{_CONTAINER}"
+_BUILD = (
+    rf"(?s){_one_of(fv.QUADLET_EXTENSIONS + fv.BUILD_EXTENSIONS)}\z"
+    rf"|^{_one_of(fv.BUILD_BASENAMES + fv.COMPOSE_BASENAMES)}\z|^tsconfig.*\.json\z|{_CONTAINER}"
+)
+_TEST = (
+    r"(?s)_test\.go\z|_test\.py\z|^test_.*\.py\z"
     rf"|\.(?:test|spec){_one_of(fv.SCRIPT_TEST_EXTENSIONS)}\z"
 )
-_JVM_TEST_NAME = rf"Tests?{_one_of(fv.JVM_TEST_EXTENSIONS)}\z|^conftest\.py\z"
+# Matched against the base name as it is: "Latest.java" is not a test.
+_CASED_TEST = rf"Tests?{_one_of(fv.JVM_TEST_EXTENSIONS)}\z|^conftest\.py\z"
+# Matched against the whole path.
 _SKIPPED = (
     rf"(?:^|/){_one_of(fv.SKIPPED_DIRECTORIES)}/|{re.escape(fv.SKIPPED_DIRECTORY_SUFFIX)}/"
 )
+_WORKFLOW = r"(?:^|/)\.github/"
+
+_LANGUAGES = "map({})".format(
+    ", ".join(f"'{ext}', '{name}'" for ext, name in fv.LANGUAGE_BY_EXTENSION.items())
+)
 
 
 def unquoted_path(path: Column) -> Column:
@@ -67,20 +83,16 @@ def _has_segment(path: Column, names: Iterable[str]) -> Column:
 
 
 def language(path: Column) -> Column:
-    pairs = [F.lit(text) for pair in fv.LANGUAGE_BY_EXTENSION.items() for text in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), extension(path)), F.lit("other"))
+    return F.coalesce(F.try_element_at(F.expr(_LANGUAGES), extension(path)), F.lit("other"))
 
 
-def _has_known_extension(path: Column) -> Column:
-    return extension(path).isin(*fv.LANGUAGE_BY_EXTENSION)
+def _base_is(path: Column, names: str) -> Column:
+    return F.lower(base_name(path)).rlike(names)
 
 
 def is_code_file(path: Column) -> Column:
     """The gate for every report: a known extension or a container/lint file."""
-    base = F.lower(base_name(path))
-    return (
-        _has_known_extension(path) | base.isin(*fv.CODE_BASENAMES) | base.rlike(_CONTAINER_NAME)
-    )
+    return _base_is(path, _CODE)
 
 
 def in_skipped_directory(path: Column) -> Column:
@@ -93,19 +105,11 @@ def is_skipped_name(directory: str) -> bool:
 
 
 def is_build_file(path: Column) -> Column:
-    base = F.lower(base_name(path))
-    return (
-        extension(path).isin(*fv.QUADLET_EXTENSIONS, *fv.BUILD_EXTENSIONS)
-        | base.isin(*fv.BUILD_BASENAMES, *fv.COMPOSE_BASENAMES)
-        | base.rlike(rf"(?s)^tsconfig.*\.json\z|{_CONTAINER_NAME}")
-        | path.rlike(r"(?:^|/)\.github/")
-    )
+    return _base_is(path, _BUILD) | path.rlike(_WORKFLOW)
 
 
 def is_test_filename(path: Column) -> Column:
-    base = base_name(path)
-    # Case counts for the JVM names: "Latest.java" is not a test.
-    return F.lower(base).rlike("(?s)" + _TEST_NAME) | base.rlike(_JVM_TEST_NAME)
+    return _base_is(path, _TEST) | base_name(path).rlike(_CASED_TEST)
 
 
 def is_test_path(path: Column) -> Column:
@@ -117,13 +121,12 @@ def is_resource_path(path: Column) -> Column:
 
 
 def file_type(path: Column) -> Column:
-    ext = extension(path)
     test, resource = is_test_path(path), is_resource_path(path)
     return (
         F.when(is_build_file(path), "build")
-        .when(ext.isin(*fv.SCRIPT_EXTENSIONS), "scripts")
-        .when(ext.isin(*fv.DOCUMENTATION_EXTENSIONS), "documentation")
-        .when(~_has_known_extension(path), "other")
+        .when(_base_is(path, _SCRIPT), "scripts")
+        .when(_base_is(path, _DOCUMENTATION), "documentation")
+        .when(~_base_is(path, _KNOWN_EXTENSION), "other")
         .when(test & resource, "test_resources")
         .when(test, "test_code")
         .when(resource, "main_resources")
@@ -133,10 +136,9 @@ def file_type(path: Column) -> Column:
 
 def file_language(path: Column) -> Column:
     """Language as reported with the type: scripts are shell, documentation is text."""
-    ext = extension(path)
-    plain = ~is_build_file(path)
     return (
-        F.when(plain & ext.isin(*fv.SCRIPT_EXTENSIONS), "shell")
-        .when(plain & ext.isin(*fv.DOCUMENTATION_EXTENSIONS), "text")
+        F.when(is_build_file(path), language(path))
+        .when(_base_is(path, _SCRIPT), "shell")
+        .when(_base_is(path, _DOCUMENTATION), "text")
         .otherwise(language(path))
     )

@@ -194,12 +194,14 @@ def split_into_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_prefix_and_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trimmed = line_functions.left_trimmed(F.col("content"))
-    return views.lines(spark, sf_dir).select(
+    trimmed = views.lines(spark, sf_dir).select(
+        "doc_id", "line_no", line_functions.left_trimmed("content").alias("trimmed")
+    )
+    return trimmed.select(
         "doc_id",
         "line_no",
-        (trimmed == "").alias("blank"),
-        line_functions.is_line_comment(trimmed).alias("comment"),
+        (F.col("trimmed") == "").alias("blank"),
+        line_functions.is_line_comment("trimmed").alias("comment"),
     )
 
 
@@ -217,9 +219,12 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    type_ = path_functions.file_type(F.col("path"))
-    counted = line_functions.countable_lines_in_text(F.col("content"), type_)
-    return views.marked_texts(spark, sf_dir).select("doc_id", counted.alias("countable"))
+    typed = views.marked_texts(spark, sf_dir).select(
+        "doc_id", "content", path_functions.file_type(F.col("path")).alias("type")
+    )
+    return typed.select(
+        "doc_id", line_functions.countable_lines_in_text("content", "type").alias("countable")
+    )
 
 
 # --- people -------------------------------------------------------------------

@@ -24,9 +24,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; make a local one only if none is set."""
+    """Use the shared folder the cluster names in `spark.checkpoint.dir`. Only a
+    local session without one gets a temporary folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="creditledger-"))
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="creditledger-")
+    context.setCheckpointDir(folder)

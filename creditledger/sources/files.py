@@ -19,6 +19,9 @@ from creditledger.sources.schemas import AUTHOR_CONFIG
 # A configuration file is read by the driver; one beyond this is refused.
 MAX_CONFIG_BYTES = 16 * 1024 * 1024
 
+# File contents handed to Spark at a time.
+BATCH_BYTES = 4 * 1024 * 1024
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,13 +85,20 @@ def with_content(listing: DataFrame, partitions: int | None = None) -> DataFrame
     loaded = pa.schema([("root", pa.string()), ("path", pa.string()), ("content", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for root, path in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
                 store, base = pafs.FileSystem.from_uri(root)
                 with store.open_input_stream(base.rstrip("/") + "/" + path) as stream:
-                    text = stream.read().decode("utf-8", errors="replace")
-                row = {"root": [root], "path": [path], "content": [text]}
-                yield pa.RecordBatch.from_pydict(row, loaded)
+                    data = stream.read()
+                text = data.decode("utf-8", errors="replace")
+                rows.append({"root": root, "path": path, "content": text})
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, loaded)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, loaded)
 
     spread = partitions or 4 * listing.sparkSession.sparkContext.defaultParallelism
     return (

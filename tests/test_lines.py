@@ -92,7 +92,7 @@ def test_counts_by_author_equal_the_fold(table, files, run_lines):
 def test_whole_text_fold(spark, files):
     rows = [(i, "\n".join(lines), "documentation" if i % 7 == 0 else "build") for i, lines in files.items()]
     df = spark.createDataFrame(rows, "file int, content string, type string")
-    got = df.select("file", countable_lines_in_text(F.col("content"), F.col("type")).alias("n")).collect()
+    got = df.select("file", countable_lines_in_text("content", "type").alias("n")).collect()
     assert {r.file: r.n for r in got} == {i: sum(expected(files, i)) for i in files}
 
 
@@ -100,7 +100,7 @@ def test_mixed_source_and_documentation(spark):
     source = "use x\n\n// all comment\nrun(); /*\nhidden\n*/ stop();\n/* alone */\nend()\n"
     notes = "# Title\n\n- one\n* two\nText.\n"
     df = spark.createDataFrame([("a", source, "main_code"), ("b", notes, "documentation")], "f string, c string, type string")
-    got = {r[0]: r[1] for r in df.select("f", countable_lines_in_text(F.col("c"), F.col("type"))).collect()}
+    got = {r[0]: r[1] for r in df.select("f", countable_lines_in_text("c", "type")).collect()}
     assert got == {"a": 4, "b": 4}
 
 
