@@ -92,8 +92,8 @@ def last_touch_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slices() -> list[Column]:
-    stamp = F.col("ts").cast("timestamp")
-    return [F.date_trunc("hour", stamp), F.date_trunc("day", stamp)]
+    """Hours: a key holding a third of the events is sorted in as many pieces."""
+    return [F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01', ts)")]
 
 
 def displaced_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
