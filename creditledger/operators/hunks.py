@@ -41,3 +41,11 @@ def hunk_lines(
         .filter(F.col(line_no).between(first, last))
         .drop("_bin")
     )
+
+
+def hunks_without_parent(
+    hunks: DataFrame, parent_lines: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """The hunks `hunk_lines` drops because their file has no parent lines, as
+    after a rename. The files are made distinct before the shuffle."""
+    return hunks.join(parent_lines.select(*keys).distinct(), list(keys), "left_anti")

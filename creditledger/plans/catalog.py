@@ -19,7 +19,7 @@ from creditledger.operators.facts import (
     window_facts,
     window_losses,
 )
-from creditledger.operators.hunks import hunk_lines
+from creditledger.operators.hunks import hunk_lines, hunks_without_parent
 from creditledger.operators.identity import resolve_identity, unique_aliases
 from creditledger.operators.line_state import classify_lines, count_lines, countable
 from creditledger.operators.rollup import (
@@ -173,11 +173,11 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def touched_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = views.manifests(spark, sf_dir)
-    return file_operators.touched_paths(after, before, DOC)
+    return file_operators.touched_paths(after, before, ["item_id"])
 
 
 def touched_paths_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_operators.touched_paths(views.manifests(spark, sf_dir)[1], None, DOC)
+    return file_operators.touched_paths(views.manifests(spark, sf_dir)[1], None, ["item_id"])
 
 
 def revision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,8 +281,10 @@ def window_line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_line_facts_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    touched = touched_paths(spark, sf_dir)
-    lines = _code_at_end(spark, sf_dir).join(touched, DOC, "left_semi")
+    """From the beginning of history, and only in the files listed as touched."""
+    lines = file_operators.tracked_only(
+        _code_at_end(spark, sf_dir), views.tracked(spark, sf_dir), DOC
+    )
     return window_facts(lines, views.aliases(spark), None, FILE)
 
 
@@ -301,6 +303,14 @@ def hunk_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hunks_without_parent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks of files whose parent lines were not delivered: here, unlabelled ones."""
+    parents = file_operators.tracked_only(
+        _parent_lines(spark, sf_dir), views.tracked(spark, sf_dir), DOC
+    )
+    return hunks_without_parent(views.hunks(spark, sf_dir), parents, DOC)
+
+
 def hunk_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_losses(
         _code_hunks(spark, sf_dir), _parent_lines(spark, sf_dir), views.aliases(spark), DOC
@@ -405,6 +415,7 @@ QUERIES: dict[str, Query] = {
     "window_line_facts": window_line_facts,
     "window_line_facts_touched": window_line_facts_touched,
     "hunk_interval_join": hunk_interval_join,
+    "hunks_without_parent": hunks_without_parent_query,
     "hunk_losses": hunk_losses,
     "range_report": range_report,
     "flat_report": flat_report,

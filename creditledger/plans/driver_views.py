@@ -152,12 +152,16 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two versions of a manifest: some paths added, removed and changed."""
-    doc_id, size = F.col("doc_id"), F.col("n_chars").cast("bigint")
-    documents = read(spark, sf_dir, "documents")
-    before = documents.filter(doc_id % 10 != 0).select("doc_id", size.alias("content_id"))
-    after = documents.filter(doc_id % 10 != 1).select(
-        "doc_id", F.when(doc_id % 4 == 0, size + 1).otherwise(size).alias("content_id")
+    """Two versions of a manifest: the status of every order as booked, and as its
+    line items have it. Some keys are in one version only, some differ."""
+    before = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("content_id")
+    )
+    first, last = F.min("l_linestatus"), F.max("l_linestatus")
+    after = (
+        read(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("item_id"))
+        .agg(F.when(first == last, first).otherwise(F.lit("P")).alias("content_id"))
     )
     return before, after
 

@@ -345,15 +345,13 @@ UNION ALL SELECT 6, 0, NULL, NULL, '],"total":{{"total_lines":' || lines || ',"t
   || ',"total_sum":' || net || '}}}}' FROM sections WHERE section = 'total'"""
 
 MANIFESTS = {
-    "m_from": "SELECT doc_id, n_chars AS content_id FROM documents WHERE doc_id % 10 <> 0",
-    "m_to": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS content_id"
-    " FROM documents WHERE doc_id % 10 <> 1",
+    "m_from": "SELECT o_orderkey AS item_id, o_orderstatus AS content_id FROM orders",
+    "m_to": """SELECT l_orderkey AS item_id, CASE WHEN min(l_linestatus) = max(l_linestatus)
+        THEN min(l_linestatus) ELSE 'P' END AS content_id FROM lineitem GROUP BY 1""",
 }
-TOUCHED = """SELECT doc_id FROM m_from f FULL OUTER JOIN m_to t USING (doc_id)
+TOUCHED = """SELECT item_id FROM m_from f FULL OUTER JOIN m_to t USING (item_id)
     WHERE f.content_id IS DISTINCT FROM t.content_id"""
 
-_FLAT_CELLS = "CAST(lines AS BIGINT) AS lines"
-
 ORACLES: dict[str, str] = {
     "net_report": _report(
         NET_BASE, f"SELECT section, type, author, lines, share, {PERCENT} AS percent, deleted, net FROM sections"
@@ -411,7 +409,7 @@ ORACLES: dict[str, str] = {
         " AND doc_id IN (SELECT doc_id FROM labels)",
     ),
     "touched_paths": _with(MANIFESTS, TOUCHED),
-    "touched_paths_from_start": _with(MANIFESTS, "SELECT doc_id FROM m_to"),
+    "touched_paths_from_start": _with(MANIFESTS, "SELECT item_id FROM m_to"),
     "revision_filter": "SELECT doc_id, source, n_chars FROM documents WHERE source = 'src1'",
     "split_into_lines": _with(
         {**FILE_VIEWS, "v_plain": PLAIN_LINES}, "SELECT doc_id, n + 1 AS line_no, l AS content FROM v_plain"
@@ -471,13 +469,13 @@ ORACLES: dict[str, str] = {
     ),
     "window_line_facts": _with(_window_facts(AT_END, views.FROM_SEQ), "SELECT * FROM facts"),
     "window_line_facts_touched": _with(
-        {
-            **MANIFESTS,
-            **_window_facts(f"SELECT * FROM ({AT_END}) WHERE doc_id IN ({TOUCHED})", None),
-        },
+        _window_facts(f"SELECT * FROM ({AT_END}) WHERE doc_id IN (SELECT doc_id FROM labels)", None),
         "SELECT * FROM facts",
     ),
     "hunk_interval_join": _with(ALL_VIEWS, f"SELECT * EXCLUDE (path) FROM ({HUNK_JOIN})"),
+    "hunks_without_parent": _with(
+        ALL_VIEWS, "SELECT * FROM v_hunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+    ),
     "hunk_losses": _with({**TYPED, **_losses()}, "SELECT type, author, deleted FROM losses"),
     "range_report": _report(
         RANGE_BASE, f"SELECT section, type, author, lines, share, {PERCENT} AS percent, deleted, net FROM sections"

@@ -67,4 +67,13 @@ DRIVER_TABLES = {
         c_custkey=LongType, c_name=StringType, c_nationkey=IntegerType, c_acctbal=DoubleType,
         c_mktsegment=StringType,
     ),
+    "orders": _struct(
+        o_orderkey=LongType, o_custkey=LongType, o_orderstatus=StringType, o_totalprice=DoubleType,
+        o_orderdate=TimestampNTZType, o_orderpriority=StringType,
+    ),
+    "lineitem": _struct(
+        l_orderkey=LongType, l_partkey=LongType, l_suppkey=LongType, l_linenumber=IntegerType,
+        l_quantity=DoubleType, l_extendedprice=DoubleType, l_discount=DoubleType, l_tax=DoubleType,
+        l_returnflag=StringType, l_linestatus=StringType, l_shipdate=TimestampNTZType,
+    ),
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditledger.operators.facts import dominant_author, author_histogram, snapshot_facts, window_facts, window_losses
 from creditledger.operators.files import at_revision, inventory, touched_paths, tracked_only
-from creditledger.operators.hunks import hunk_lines
+from creditledger.operators.hunks import hunk_lines, hunks_without_parent
 from creditledger.operators.identity import resolve_identity, unique_aliases
 
 ALIASES = "kind string, alias_lower string, canonical string, ord int"
@@ -102,6 +102,7 @@ def test_losses(spark, aliases):
     hunks = spark.createDataFrame([
         ("c1", "a.py", 2, 2, "Alice Anno <q@x.org>"), ("c2", "n.md", 1, 2, "Bob <bob@x.org>"), ("c9", "gone.py", 1, 3, "x"),
     ], "commit_id string, path string, start long, cnt long, deleting_author string")
+    assert [r.path for r in hunks_without_parent(hunks, parent, ["commit_id", "path"]).collect()] == ["gone.py"]
     rows = window_losses(hunks, parent, aliases).collect()
     # The comment opened on line 1 is outside the first hunk; Alice deleting her own line is no loss.
     assert {(r.type, r.author, r.deleted) for r in rows} == {("main_code", "Bob R.", 1), ("documentation", "A. Anno", 1)}

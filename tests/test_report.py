@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.shares import share_text
 from creditledger.operators.rollup import in_report_order, ledger_entries, report, table_rows
+from creditledger.session import ensure_checkpoint_dir
 from creditledger.sinks.report_files import check_outputs_absent, write_report
 
 
@@ -136,3 +137,10 @@ def test_nothing_to_report(spark, books, tmp_path):
     write_report(ledger_entries(f.limit(0), d), str(tmp_path / "losses"), True)
     document = json.loads("".join(open(p).read() for p in sorted(glob.glob(str(tmp_path) + "/losses/report_json/part-*"))))
     assert document["total"]["total_lines"] == 0 and document["total"]["total_deleted"] > 0
+
+
+def test_checkpoint_folder_in_use_stays(spark):
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir()
+    ensure_checkpoint_dir(spark)
+    assert folder and spark.sparkContext.getCheckpointDir() == folder
