@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from creditledger.functions.lines import bit, with_line_code
 
 RUN_LINES = 65_536
+BLOCK_RUNS = 1_024
 
 _FIRST = Window.unboundedPreceding
 
@@ -88,22 +89,64 @@ def _within_runs(
 
 
 def _with_run_start(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds `_start`, the bit each run starts with, from `_sets`/`_flips` of the
-    earlier runs. Several rows of one run may be present; one of them carries
-    the two columns, the others NULL. The frames are ranges over the run number,
-    so rows of the same run never see each other."""
-    by_run = Window.partitionBy(*keys).orderBy("_run")
-    upto = by_run.rangeBetween(_FIRST, 0)
-    earlier = by_run.rangeBetween(_FIRST, -1)
+    """Adds `_start`, the bit each run starts with, to one row per run, from what
+    the earlier runs of the file do to the bit."""
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(_FIRST, -1)
+    upto = Window.partitionBy(*keys).orderBy("_run").rowsBetween(_FIRST, 0)
     flips = F.coalesce(F.col("_flips"), F.lit(0))
-    turned = (
-        runs.withColumn("_turns", F.coalesce(F.sum(flips).over(upto), F.lit(0)))
-        .withColumn("_turns_before", F.coalesce(F.sum(flips).over(earlier), F.lit(0)))
-        .withColumn("_mark", F.col("_sets").bitwiseXOR(_odd(F.col("_turns"))))
+    turned = runs.withColumn("_turns", F.sum(flips).over(upto)).withColumn(
+        "_mark", F.col("_sets").bitwiseXOR(_odd(F.col("_turns")))
     )
     mark = F.coalesce(F.last("_mark", ignorenulls=True).over(earlier), F.lit(0))
     return turned.withColumn("_mark_before", mark).withColumn(
-        "_start", F.col("_mark_before").bitwiseXOR(_odd(F.col("_turns_before")))
+        "_start", F.col("_mark_before").bitwiseXOR(_odd(F.col("_turns") - flips))
+    )
+
+
+def _composed(
+    units: DataFrame, keys: Sequence[str], by: Sequence[str], unit: str, group: str, size: int | None
+) -> DataFrame:
+    """Merge `size` consecutive units (runs, blocks) into one row per (group, by),
+    or all units of a file if `size` is None.
+
+    In and out: both possible counts, `_if0` and `_if1`, and on one row of each
+    unit what it does to the bit. The frames are ranges over the unit number, so
+    rows of the same unit never see each other.
+    """
+    number = F.lit(0) if size is None else F.floor(F.col(unit) / F.lit(size))
+    ordered = Window.partitionBy(*keys, group).orderBy(unit)
+    upto, earlier = ordered.rangeBetween(_FIRST, 0), ordered.rangeBetween(_FIRST, -1)
+    everything = ordered.rangeBetween(_FIRST, Window.unboundedFollowing)
+    flips = F.coalesce(F.col("_flips"), F.lit(0))
+    marked = (
+        units.withColumn(group, number.cast("bigint"))
+        .select(
+            "*",
+            F.sum(flips).over(upto).alias("_turns"),
+            F.coalesce(F.sum(flips).over(earlier), F.lit(0)).alias("_turns_before"),
+            F.max(unit).over(everything).alias("_last"),
+        )
+        .select("*", F.col("_sets").bitwiseXOR(_odd(F.col("_turns"))).alias("_mark"))
+        .select("*", F.last("_mark", ignorenulls=True).over(earlier).alias("_mark_before"))
+    )
+
+    def count_if(start: int) -> Column:
+        bit_before = F.coalesce(F.col("_mark_before"), F.lit(start)).bitwiseXOR(
+            _odd(F.col("_turns_before"))
+        )
+        return F.sum(F.when(bit_before == 1, F.col("_if1")).otherwise(F.col("_if0")))
+
+    carries = F.col("_sets").isNotNull() | F.col("_flips").isNotNull()
+    tail = carries & (F.col(unit) == F.col("_last"))
+    mark_after = F.coalesce(F.col("_mark"), F.col("_mark_before"))
+    turns_after = _odd(F.col("_turns"))
+    return marked.groupBy(*keys, group, *by).agg(
+        F.sum("n_lines").alias("n_lines"),
+        F.sum("n_filled").alias("n_filled"),
+        count_if(0).alias("_if0"),
+        count_if(1).alias("_if1"),
+        F.max(F.when(tail, mark_after.bitwiseXOR(turns_after))).alias("_sets"),
+        F.max(F.when(tail & mark_after.isNull(), turns_after)).alias("_flips"),
     )
 
 
@@ -114,14 +157,18 @@ def count_lines(
     line_no: str = "line_no",
     content: str = "content",
     run_lines: int = RUN_LINES,
+    block_runs: int | None = BLOCK_RUNS,
 ) -> DataFrame:
     """Lines per (keys, by): all, not blank, and code lines by the comment rules.
 
     Columns: keys, by, `n_lines`, `n_filled`, `n_code`. Both possible counts of a
     run are kept until its start is known, so the table is read and shuffled
-    once; only (keys, run, by) totals are shuffled again.
+    once; after that only totals move, per (run, by), then per (block, by). The
+    two levels keep the rows of one file that meet in one task few even when
+    it has a large part of all lines and many authors. `block_runs=None` leaves
+    out the first of them where no file has more than some thousand runs.
     """
-    per_run = (
+    runs = (
         _within_runs(lines, keys, by, line_no, content, run_lines)
         .groupBy(*keys, "_run", *by)
         .agg(
@@ -133,15 +180,12 @@ def count_lines(
             F.max("_flips").alias("_flips"),
         )
     )
-    settled = F.when(F.col("_start") == 1, F.col("_if1")).otherwise(F.col("_if0"))
-    return (
-        _with_run_start(per_run, keys)
-        .groupBy(*keys, *by)
-        .agg(
-            F.sum("n_lines").alias("n_lines"),
-            F.sum("n_filled").alias("n_filled"),
-            F.sum(settled).alias("n_code"),
-        )
+    units, unit = runs, "_run"
+    if block_runs is not None:
+        units, unit = _composed(runs, keys, by, "_run", "_block", block_runs), "_block"
+    # A file starts outside a comment.
+    return _composed(units, keys, by, unit, "_file", None).select(
+        *keys, *by, "n_lines", "n_filled", F.col("_if0").alias("n_code")
     )
 
 

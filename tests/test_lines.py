@@ -76,9 +76,9 @@ def test_flags_equal_the_fold_for_any_run_length(table, files, run_lines):
     assert {(r.file, r.line_no): r.countable for r in got} == want
 
 
-@pytest.mark.parametrize("run_lines", [1, 3, 65536])
-def test_counts_by_author_equal_the_fold(table, files, run_lines):
-    got = count_lines(table, ["file"], by=["author"], run_lines=run_lines).collect()
+@pytest.mark.parametrize("run_lines, block_runs", [(1, 1), (1, 4), (3, 2), (2, None), (65536, 1024)])
+def test_counts_by_author_equal_the_fold(table, files, run_lines, block_runs):
+    got = count_lines(table, ["file"], by=["author"], run_lines=run_lines, block_runs=block_runs).collect()
     want = {}
     for i, lines in files.items():
         for n, (line, flag) in enumerate(zip(lines, fold(lines))):
