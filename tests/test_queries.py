@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from creditledger.plans.catalog import QUERIES
+from creditledger.plans.oracle import ORACLES
 from creditledger.sources.schemas import DRIVER_TABLES
 
 
@@ -19,14 +21,15 @@ def duck(small_dir):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, small_dir, name):
-    df = driver.queries()[name](spark, small_dir)
+    df = QUERIES[name](spark, small_dir)
     columns = sorted(df.columns)
-    result = duck.execute(driver.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
