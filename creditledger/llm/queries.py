@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.llm import sql
+from creditledger.llm.decontaminate import benchmark_hits, is_contaminated
 from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import identify
 from creditledger.llm.packing import pack
@@ -31,6 +32,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select(
@@ -41,9 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": sql.EXACT_DEDUP,
+    "op8_decontamination": sql.DECONTAMINATION,
 }
