@@ -11,6 +11,7 @@ from creditledger.llm import sql
 from creditledger.llm.decontaminate import benchmark_hits, is_contaminated
 from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import identify
+from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
 
 
@@ -45,6 +46,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select(
@@ -56,10 +61,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": sql.EXACT_DEDUP,
     "op8_decontamination": sql.DECONTAMINATION,
+    "op9_near_dedup": sql.NEAR_DEDUP,
 }
