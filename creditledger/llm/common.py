@@ -102,3 +102,14 @@ def word_edges(is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the runs of True begin and end. The last value must be False."""
     change = np.flatnonzero(np.diff(is_word, prepend=False))
     return change[::2], change[1::2]
+
+
+_WORD_BYTES = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def alnum_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`data` with A-Z in lower case, and where its words begin and end: runs of ASCII
+    letters and digits and of anything beyond ASCII. The last byte must be no word's."""
+    data = LOWER[data]
+    return (data, *word_edges(_WORD_BYTES[data]))

@@ -30,24 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditledger.llm.common import Ranges, flat, slices, stored, word_edges
+from creditledger.llm.common import Ranges, alnum_words, flat, slices, stored
 
 WINDOW = 13
 #: Documents with at least one in so many words hit are contaminated.
 COVERAGE = 20
 BLOCK_WORDS = 200_000
 SPANS = "struct<n_words:bigint,longest:bigint,starts:array<bigint>,ends:array<bigint>,items:array<bigint>>"
-_WORD_BYTES = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-
-
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = _LOWER[data]
-    return (data, *word_edges(_WORD_BYTES[data]))
 
 
 def words_of(text: str) -> list[bytes]:
-    data, start, end = _words(np.frombuffer(text.encode() + b" ", np.uint8))
+    data, start, end = alnum_words(np.frombuffer(text.encode() + b" ", np.uint8))
     return [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
 
 
@@ -200,7 +193,7 @@ def _marked(rows: DataFrame, automaton: Automaton) -> DataFrame:
         automaton = shared.value
         for batch in slices(batches, "_bytes"):
             data, places = flat(batch.column("_bytes"), b" ")
-            data, start, end = _words(data)
+            data, start, end = alnum_words(data)
             bounds = np.searchsorted(start, places)
             first = np.zeros(len(start) + 1, bool)
             first[bounds] = True
@@ -266,7 +259,7 @@ def _without(text: str | None, starts: list[int], ends: list[int]) -> str | None
     if not text or not starts:
         return text
     data = text.encode()
-    _, first, last = _words(np.frombuffer(data + b" ", np.uint8))
+    _, first, last = alnum_words(np.frombuffer(data + b" ", np.uint8))
     out, at = [], 0
     for s, e in zip(starts, ends, strict=True):
         out.append(data[at : first[s]])

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditledger.llm import sql
+from creditledger.llm import sql, toxicity
 from creditledger.llm.decontaminate import benchmark_hits, is_contaminated
 from creditledger.llm.exact import exact_groups
-from creditledger.llm.language import identify
+from creditledger.llm.language import held_out, identify
 from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
 from creditledger.llm.suffix_dedup import cut_repeats
@@ -34,6 +34,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 3, 1)
+    known = labels.select("doc_id", F.col("toxic").alias("label")).filter(~held & F.col("label").isNotNull())
+    scored = toxicity.predict(docs, toxicity.train(docs.select("doc_id", "text").join(known, "doc_id")))
+    return scored.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
