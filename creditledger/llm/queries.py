@@ -37,8 +37,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = held_out(F.col("doc_id"), 3, 1)
-    known = labels.select("doc_id", F.col("toxic").alias("label")).filter(~held & F.col("label").isNotNull())
-    scored = toxicity.predict(docs, toxicity.train(docs.select("doc_id", "text").join(known, "doc_id")))
+    known = labels.select("doc_id", F.col("toxic").alias("label")).filter(~held)
+    scored = toxicity.predict(docs, toxicity.train(docs, known))
     return scored.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )

@@ -165,20 +165,22 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["doc_id", "label", "places"])
 
 
-def train(labelled: DataFrame, per_label: int = PER_LABEL) -> Model | None:
-    """A model from rows (doc_id, text, label 0 or 1)."""
-    usable = labelled.filter(F.col("label").isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
+    """A model from `docs` (doc_id, text) and `labels` (doc_id, label 0 or 1)."""
+    usable = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     shares = {int(label): min(1.0, per_label / n) for label, n in counts.items()}
     share = F.when(F.col("label") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))
-    # Which texts are taken depends on their ids alone; the bound is met in expectation.
+    # Which texts are taken depends on their ids alone; the bound is met in expectation,
+    # so what is broadcast is about 2 * per_label ids.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(place < share).select(
+    sample = docs.select("doc_id", "text").join(F.broadcast(usable.filter(place < share)), "doc_id")
+    rows = sample.select(
         F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long"), F.col("label").cast("int")
     )
-    rows = sample.mapInArrow(_distinct, "doc_id long, label int, places array<int>").toArrow()
+    rows = rows.mapInArrow(_distinct, "doc_id long, label int, places array<int>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     return fit([np.array(p.values) for p in rows.column("places")], rows.column("label").to_numpy(), shares)
 
