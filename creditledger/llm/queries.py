@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.llm import sql, toxicity
+from creditledger.llm.common import shared_folder
 from creditledger.llm.decontaminate import benchmark_hits, is_contaminated
 from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import held_out, identify
 from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
 from creditledger.llm.suffix_dedup import cut_repeats
+from creditledger.llm.warc import read_archive, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc"
+    manifest = write_archive(_table(spark, sf_dir, "pages"), folder)
+    return read_archive(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
@@ -83,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": sql.WARC,
     "op7_exact_dedup": sql.EXACT_DEDUP,
     "op8_decontamination": sql.DECONTAMINATION,
     "op9_near_dedup": sql.NEAR_DEDUP,

@@ -62,3 +62,15 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), g AS (
+  SELECT html, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY html
+)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html AND payload_bytes >= 1000
+"""
