@@ -14,6 +14,7 @@ from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import held_out, identify
 from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
+from creditledger.llm.quality import judge
 from creditledger.llm.suffix_dedup import cut_repeats
 from creditledger.llm.warc import read_archive, write_archive
 
@@ -52,6 +53,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return judge(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
