@@ -86,6 +86,7 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` without the rows that exact_groups does not keep."""
+    """`docs` without the rows that exact_groups does not keep; rows without a doc_id
+    cannot be named, and stay."""
     gone = exact_groups(docs, fan_in).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

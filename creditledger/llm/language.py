@@ -231,5 +231,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 def drop_rejected(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """`docs` without the rows whose language is rejected; all columns stay."""
     model = train(docs.filter(~held_out(F.col("doc_id"), 4, 2)), per_language)
-    columns = [f.name for f in docs.schema]
-    return predict(docs, model, tuple(columns)).filter(~F.col("rejected")).select(columns)
+    columns = docs.columns
+    aside = docs.select("text", *(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)))
+    found = predict(aside, model, tuple(f"_c{i}" for i in range(len(columns)))).filter(~F.col("rejected"))
+    return found.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)))
