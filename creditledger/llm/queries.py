@@ -14,6 +14,7 @@ from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import held_out, identify
 from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
+from creditledger.llm.pii import replace
 from creditledger.llm.quality import judge
 from creditledger.llm.suffix_dedup import cut_repeats
 from creditledger.llm.warc import read_archive, write_archive
@@ -29,6 +30,14 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A user sets a secret of their own; with this one results can be repeated.
+PII_KEY = b"creditledger public key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +96,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_language_id": op2_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
