@@ -68,8 +68,8 @@ def shard_edges(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
     if low is None:
         return []
     n = PARTS * -(-total // shard_bytes)
-    step = max(1, -(-(high - low + 1) // n))
-    # (first id, width) of parts still to be measured, all of one width.
+    # A power of two, so that parts of the next round nest in those of this one.
+    step = 1 << (-(-(high - low + 1) // n) - 1).bit_length()
     parts, measured = None, []
     while True:
         part = F.floor((F.col("page_id") - low) / step).cast("long")
@@ -84,9 +84,6 @@ def shard_edges(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
             break
         parts, wide = pages.sparkSession.createDataFrame(heavy, "big long"), step
         step = max(1, step // PARTS)
-        # Parts of the next round nest in those of this one.
-        while wide % step:
-            step -= 1
     edges, held = [], 0
     for first, size in sorted(measured):
         if held and held + size > shard_bytes:
@@ -206,7 +203,7 @@ def write_archive(
     placed = (
         every.withColumn("shard", shard_of("page_id"))
         .repartition(len(edges) + 1, "shard")
-        .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.col("refers_to").isNull(), "sum", "payload")
+        .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.col("refers_to").isNull(), "sum", "url", "payload")
         .select("shard", "page_id", "url", "payload", "sum", "refers_to")
     )
 
