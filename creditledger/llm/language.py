@@ -32,7 +32,7 @@ from creditledger.llm.common import flat, slices
 BUCKETS = 1 << 16
 GRAMS = ((2, 0x9E3779B1), (3, 0x85EBCA6B), (4, 0xC2B2AE35))
 DIM = 16
-PER_LANGUAGE = 800
+PER_LANGUAGE = 400
 REJECT_SHARE = 0.001
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -181,8 +181,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, reject_share: f
     rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     languages = sorted(set(rows.column("lang").to_pylist()))
     labels = np.array([languages.index(x) for x in rows.column("lang").to_pylist()])
-    texts = [(np.array(b.values), np.array(s.values)) for b, s in zip(rows.column("bucket"), rows.column("share"), strict=True)]
-    return fit(texts, labels, languages, reject_share)
+    # Views of the table's buffers, which are given back once the model is fitted.
+    views = [[x.values.to_numpy() for x in rows.column(c)] for c in ("bucket", "share")]
+    model = fit(list(zip(*views, strict=True)), labels, languages, reject_share)
+    del rows, views
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

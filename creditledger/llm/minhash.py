@@ -269,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b")
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         step = large.join(small, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))
         edges = stored(
