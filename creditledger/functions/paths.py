@@ -47,22 +47,28 @@ _LANGUAGES = "map({})".format(
 )
 
 
+# The letters that stand for control characters in a quoted path.
+ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+
+
 def unquoted_path(path: Column) -> Column:
-    """Undo quoting: "a/\\303\\244.md" holds its bytes as octal escapes."""
-    inner = F.regexp_extract(path, r'^"(.*)"$', 1)
-    pieces = F.split(inner, r"\\(?=[0-7]{3})")
-    as_hex = F.transform(
-        pieces,
-        lambda piece, i: F.when(i == 0, F.hex(F.encode(piece, "UTF-8"))).otherwise(
-            F.concat(
-                F.lpad(F.conv(F.substring(piece, 1, 3), 8, 16), 2, "0"),
-                F.hex(F.encode(F.substring(piece, 4, 2**31 - 1), "UTF-8")),
-            )
-        ),
-    )
-    text = F.decode(F.unhex(F.array_join(as_hex, "")), "UTF-8")
-    plain = F.regexp_replace(text, r'\\(["\\])', "$1")
-    return F.when(path.startswith('"'), plain).otherwise(path)
+    """Undo quoting: "a/\\303\\244.md" holds its bytes as octal escapes. Escapes are
+    read from left to right; bytes that are no UTF-8 become replacement characters."""
+    inner = F.regexp_extract(path, r'(?s)^"(.*)"$', 1)
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)(\\[0-7]{3}|\\.|[^\\]+|\\)"), F.lit(1))
+
+    def as_hex(piece: Column) -> Column:
+        octal = F.lpad(F.conv(F.substring(piece, 2, 3), 8, 16), 2, "0")
+        letter = F.when(piece.rlike(r"^\\[0-7]{3}$"), F.right(octal, F.lit(2)))
+        for name, code in ESCAPES.items():
+            letter = letter.when(piece == "\\" + name, F.lit(f"{code:02X}"))
+        # Any other character after a backslash stands for itself.
+        bare = F.regexp_replace(piece, r"(?s)^\\(.)$", "$1")
+        return letter.otherwise(F.hex(F.encode(bare, "UTF-8")))
+
+    bytes_ = F.unhex(F.array_join(F.transform(pieces, as_hex), ""))
+    text = F.make_valid_utf8(bytes_.cast("string"))
+    return F.when(path.startswith('"'), text).otherwise(path)
 
 
 def base_name(path: Column) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditledger.operators.joins import null_safe_join
+
 
 def _bounds(position: str, after: Column | None, until: Column | None) -> Column:
     bound = F.lit(True)
@@ -77,8 +79,7 @@ def _slice_chain(
         *keys, fine, F.col("_prev").alias("_carried")
     )
     return (
-        rows.withColumn("_prev", F.lag(value).over(ordered))
-        .join(carried, [*keys, fine], "left")
+        null_safe_join(rows.withColumn("_prev", F.lag(value).over(ordered)), carried, [*keys, fine], "left")
         .withColumn("_prev", F.coalesce("_prev", "_carried"))
         .drop("_carried")
     )

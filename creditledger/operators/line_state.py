@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditledger.operators.joins import null_safe_join
 from creditledger.functions.lines import bit, with_line_code
 
 RUN_LINES = 65_536
@@ -219,6 +220,6 @@ def classify_lines(
     flag = F.when(F.col("_start") == 1, F.col("_if1")).otherwise(F.col("_if0")) == 1
     if type_ is not None:
         flag = F.when(F.col(type_) == "documentation", F.col("_filled") == 1).otherwise(flag)
-    return marked.join(starts, [*keys, "_run"], "left").select(
+    return null_safe_join(marked, starts, [*keys, "_run"], "left").select(
         *keys, F.col("_line").alias(line_no), *keep, flag.alias("countable")
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditledger.operators.joins import null_safe_join
 from creditledger.functions.shares import share, share_text
 
 LINES, DELETED = "lines", "deleted"
@@ -73,8 +74,7 @@ def share_in_group(entries: DataFrame) -> DataFrame:
     than windowed, so a type with most of the authors is no single task."""
     totals = entries.groupBy("type").agg(_booked(LINES).alias("group_lines"))
     return (
-        contributions(entries)
-        .join(totals, "type")
+        null_safe_join(contributions(entries), totals, ["type"])
         .select(
             "type",
             "author",

@@ -261,8 +261,22 @@ def snapshot_facts_by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = views.lines(spark, sf_dir).filter(path_functions.is_code_file(F.col("path")))
-    rows = report(snapshot_entries(code, views.aliases(spark), FILE), with_losses=False)
+    entries = snapshot_entries(views.lines(spark, sf_dir), views.aliases(spark), FILE)
+    rows = report(entries, with_losses=False)
+    return in_report_order(rows).select("section", "type", "author", "lines", "share", "percent")
+
+
+def snapshot_inventory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From inventory to report: tracked files that no rule ignores."""
+    entries = snapshot_entries(
+        views.lines(spark, sf_dir),
+        views.aliases(spark),
+        FILE,
+        tracked=views.tracked(spark, sf_dir),
+        tracked_keys=DOC,
+        ignore_rules=views.IGNORE_RULES,
+    )
+    rows = report(entries, with_losses=False)
     return in_report_order(rows).select("section", "type", "author", "lines", "share", "percent")
 
 
@@ -281,11 +295,12 @@ def window_line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_line_facts_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the beginning of history, and only in the files listed as touched."""
-    lines = file_operators.tracked_only(
-        _code_at_end(spark, sf_dir), views.tracked(spark, sf_dir), DOC
+    """From the beginning of history, and only in the files listed as touched: here,
+    paths of which a labelled document exists."""
+    touched = file_operators.tracked_only(
+        views.paths(spark, sf_dir), views.tracked(spark, sf_dir), DOC
     )
-    return window_facts(lines, views.aliases(spark), None, FILE)
+    return window_facts(_code_at_end(spark, sf_dir), views.aliases(spark), None, FILE, touched=touched)
 
 
 def _parent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,8 +334,8 @@ def hunk_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _range_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = range_entries(
-        _code_at_end(spark, sf_dir),
-        _code_hunks(spark, sf_dir),
+        views.lines_at_end(spark, sf_dir),
+        views.hunks(spark, sf_dir),
         _parent_lines(spark, sf_dir),
         views.aliases(spark),
         views.FROM_SEQ,
@@ -412,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_facts": snapshot_file_facts,
     "snapshot_facts_by_person": snapshot_facts_by_person,
     "snapshot_report": snapshot_report,
+    "snapshot_inventory_report": snapshot_inventory_report,
     "window_line_facts": window_line_facts,
     "window_line_facts_touched": window_line_facts_touched,
     "hunk_interval_join": hunk_interval_join,

@@ -352,6 +352,8 @@ MANIFESTS = {
 TOUCHED = """SELECT item_id FROM m_from f FULL OUTER JOIN m_to t USING (item_id)
     WHERE f.content_id IS DISTINCT FROM t.content_id"""
 
+INVENTORY = f"SELECT doc_id FROM v_paths WHERE {IS_CODE} AND NOT {IS_SKIPPED}"
+
 ORACLES: dict[str, str] = {
     "net_report": _report(
         NET_BASE, f"SELECT section, type, author, lines, share, {PERCENT} AS percent, deleted, net FROM sections"
@@ -462,7 +464,17 @@ ORACLES: dict[str, str] = {
     ),
     "snapshot_report": _report(
         {
-            **_snapshot_facts("SELECT l.* FROM v_lines l JOIN v_types USING (doc_id) WHERE is_code"),
+            **_snapshot_facts(f"SELECT * FROM v_lines WHERE doc_id IN ({INVENTORY})"),
+            "base": "SELECT type, author, sum(lines) AS lines, 0 AS deleted FROM facts GROUP BY 1, 2",
+        },
+        f"SELECT section, type, author, lines, share, {PERCENT} AS percent FROM sections",
+    ),
+    "snapshot_inventory_report": _report(
+        {
+            **_snapshot_facts(
+                f"SELECT * FROM v_lines WHERE doc_id IN ({INVENTORY} AND NOT {_ignored()}"
+                " AND doc_id IN (SELECT doc_id FROM labels))"
+            ),
             "base": "SELECT type, author, sum(lines) AS lines, 0 AS deleted FROM facts GROUP BY 1, 2",
         },
         f"SELECT section, type, author, lines, share, {PERCENT} AS percent FROM sections",

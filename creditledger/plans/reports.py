@@ -7,14 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditledger.functions.ignore import IgnoreRule
+from creditledger.functions.paths import is_code_file
 from creditledger.operators.attribution import displacements, last_touch
 from creditledger.operators.facts import snapshot_facts, window_facts, window_losses
+from creditledger.operators.files import inventory
 from creditledger.operators.rollup import ledger_entries
 
 
-def snapshot_entries(lines: DataFrame, aliases: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """Who owns what: entries for `report(entries, with_losses=False)`."""
-    return ledger_entries(snapshot_facts(lines, aliases, keys))
+def snapshot_entries(
+    lines: DataFrame,
+    aliases: DataFrame,
+    keys: Sequence[str] = ("path",),
+    path: str = "path",
+    tracked: DataFrame | None = None,
+    tracked_keys: Sequence[str] | None = None,
+    ignore_rules: Sequence[IgnoreRule] = (),
+) -> DataFrame:
+    """Who owns what: entries for `report(entries, with_losses=False)`.
+
+    Only files of the inventory count: code files outside skipped directories, not
+    ignored and, where `tracked` is given, in it. Lines of others go before the shuffle.
+    """
+    counted = inventory(lines, tracked, tracked_keys or keys, ignore_rules, path)
+    return ledger_entries(snapshot_facts(counted, aliases, keys, path))
 
 
 def range_entries(
@@ -26,11 +42,13 @@ def range_entries(
     keys: Sequence[str] = ("path",),
     hunk_keys: Sequence[str] = ("commit_id", "path"),
     touched: DataFrame | None = None,
+    path: str = "path",
 ) -> DataFrame:
     """Who changed what in the window and whose lines went: entries for
-    `report(entries, with_losses=True)`."""
-    facts = window_facts(lines, aliases, after, keys, touched=touched)
-    return ledger_entries(facts, window_losses(hunks, parent_lines, aliases, hunk_keys))
+    `report(entries, with_losses=True)`. Only code files count, on either side."""
+    facts = window_facts(lines.filter(is_code_file(F.col(path))), aliases, after, keys, path, touched=touched)
+    removed = hunks.filter(is_code_file(F.col(path)))
+    return ledger_entries(facts, window_losses(removed, parent_lines, aliases, hunk_keys, path))
 
 
 def touch_losses(

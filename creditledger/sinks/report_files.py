@@ -1,8 +1,8 @@
 """Writing a report: flat CSV and one nested JSON document.
 
 Both are range-sorted and written by as many tasks as the report needs; a small
-report comes out as a single part, a large one as parts whose concatenation in
-name order is the file. No group of rows is ever gathered into one value.
+report comes out as a single part, a large one as parts. The concatenation of the
+JSON parts in name order is the document; CSV parts each repeat the header. No group of rows is ever gathered into one value.
 """
 
 from __future__ import annotations
@@ -51,9 +51,9 @@ def json_document(rows: DataFrame, with_losses: bool) -> DataFrame:
     )
     rank = F.struct(
         (-F.coalesce(F.col("_group"), F.lit(0))).alias("g"),
-        F.coalesce(F.col("type"), F.lit("")).alias("t"),
+        F.col("type").alias("t"),
         (-F.col("_value")).alias("v"),
-        F.coalesce(F.col("author"), F.lit("")).alias("a"),
+        F.col("author").alias("a"),
     )
     firsts = listed.groupBy("section", "_list").agg(F.min(rank).alias("_first"))
     keyed = rows.withColumn("_list", F.when(section == "by_author_and_type", F.col("type")))
@@ -62,7 +62,7 @@ def json_document(rows: DataFrame, with_losses: bool) -> DataFrame:
         (F.col("section") == F.col("_s")) & F.col("_list").eqNullSafe(F.col("_l")),
         "left",
     )
-    comma = F.when(rank == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    comma = F.when(rank.eqNullSafe(F.col("_first")), F.lit("")).otherwise(F.lit(","))
     total_names = {"lines": "total_lines", "deleted": "total_deleted", "net": "total_sum"}
     total = F.to_json(
         F.struct(
@@ -105,7 +105,14 @@ def write_csv(rows: DataFrame, path: str, with_losses: bool) -> None:
     flat = in_report_order(flat_rows(rows, with_losses))
     columns = [c for c in flat.columns if not c.startswith("_")]
     flat.select(*columns).write.mode("errorifexists").csv(
-        path, header=True, nullValue="", emptyValue="", escape='"'
+        path,
+        header=True,
+        nullValue="",
+        emptyValue="",
+        escape='"',
+        # Blanks at the ends of a name are part of it.
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
 
 

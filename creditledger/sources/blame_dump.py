@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditledger.functions.paths import unquoted_path
+from creditledger.sources.files import read_records
 
 # The layout of a block.
 SEPARATOR = "\n\t"
@@ -21,18 +22,10 @@ _LAST_HEADER = rf"(?s)^(?:.*\n)?({_HASH_LINE}\n.*)$"
 
 
 def read_dump_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, seq, value of all dumps below `path`; names that start with
-    '.' or '_' are no input files for Spark, so give dumps other names. `split` is the byte offset of the input split and
-    `seq` counts on inside it, so (split, seq) is the order within a file."""
-    return (
-        spark.read.text(path, lineSep=SEPARATOR)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
-        )
-    )
+    """file, split, seq, value of all dumps below `path`, at any depth and of any
+    name. `split` is the byte offset of the input split and `seq` counts on inside
+    it, so (split, seq) is the order within a file."""
+    return read_records(spark, path, SEPARATOR)
 
 
 def _header(value: Column) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 import pyarrow.fs as pafs
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, parse_ignore_rules
@@ -16,9 +16,6 @@ from creditledger.functions.lines import split_lines
 from creditledger.functions.paths import is_skipped_name
 from creditledger.sources.schemas import AUTHOR_CONFIG
 
-# A configuration file is read by the driver; one beyond this is refused.
-MAX_CONFIG_BYTES = 16 * 1024 * 1024
-
 # File contents handed to Spark at a time.
 BATCH_BYTES = 4 * 1024 * 1024
 
@@ -33,8 +30,6 @@ def _small_file(path: str) -> str | None:
     info = store.get_file_info(inner)
     if info.type != pafs.FileType.File:
         return None
-    if info.size > MAX_CONFIG_BYTES:
-        raise ValueError(f"{path} is larger than {MAX_CONFIG_BYTES} bytes")
     with store.open_input_stream(inner) as stream:
         return stream.read().decode("utf-8", errors="replace")
 
@@ -55,6 +50,8 @@ def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True) ->
             for root in batch["root"].to_pylist():
                 store, base = pafs.FileSystem.from_uri(root)
                 base = base.rstrip("/")
+                if store.get_file_info(base).type != pafs.FileType.Directory:
+                    continue
                 waiting = [base]
                 while waiting:
                     found = store.get_file_info(pafs.FileSelector(waiting.pop()))
@@ -108,6 +105,38 @@ def with_content(listing: DataFrame, partitions: int | None = None) -> DataFrame
     )
 
 
+def _passed_over(path: Column) -> Column:
+    """Whether Spark's file readers take a file for hidden, by any part of its path."""
+    part = r"(?:^|/)(?:\.|_(?![^/]*=))[^/]*"
+    return path.rlike(part) | path.endswith("._COPYING_")
+
+
+def read_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """file, split, seq, value: the records of all files below `path`, at any depth
+    and of any name. (split, seq) is the order within a file.
+
+    Files that Spark's reader takes are split; those whose names it takes for hidden
+    (`__init__.py`, `.github/ci.yml`) are found by an own walk and read whole.
+    """
+    visible = spark.read.text(path, lineSep=separator, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    hidden = with_content(list_trees(spark, [path], prune=False).filter(_passed_over(F.col("path"))))
+    # As the reader does: no record after a separator that ends the file.
+    pieces = F.split(F.col("content"), separator, -1)
+    pieces = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    return visible.unionByName(
+        hidden.select(
+            F.concat("root", F.lit("/"), "path").alias("file"),
+            F.lit(0).cast("long").alias("split"),
+            F.posexplode(pieces).alias("seq", "value"),
+        ).withColumn("seq", F.col("seq").cast("long"))
+    )
+
+
 def explode_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, line_no (from 1), content: one row per line, split on newline only."""
     return files.select(
@@ -115,21 +144,30 @@ def explode_lines(files: DataFrame, keys: list[str], content: str = "content") -
     ).select(*keys, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "content")
 
 
-def read_author_config(spark: SparkSession, path: str | None) -> DataFrame:
+def read_author_config(spark: SparkSession, path: str | None, broken_is_empty: bool = False) -> DataFrame:
     """Alias table from a JSON file {"authors": [{canonical, emails, names}]}.
 
-    A missing or unreadable file is an empty table: every name stands for itself.
+    A missing file is an empty table: every name stands for itself. One that cannot
+    be parsed raises, unless `broken_is_empty` is set.
     """
     empty = spark.sql(
         "SELECT * FROM VALUES ('', '', '', 0) AS v(kind, alias_lower, canonical, ord) WHERE false"
     )
     if path is None:
         return empty
+    if not path_exists(spark, path):
+        return empty
+    config = spark.read.schema(AUTHOR_CONFIG).json(path, multiLine=True, mode="FAILFAST")
     try:
-        if not path_exists(spark, path):
-            return empty
-        config = spark.read.schema(AUTHOR_CONFIG).json(path, multiLine=True)
-    except (AnalysisException, Py4JJavaError):
+        # Parsed here, where the fault can still be told; the file is one small row.
+        readable = config.agg(F.count("authors") == F.count(F.lit(1)), F.count(F.lit(1)) > 0).first() == (True, True)
+    except (PySparkException, Py4JJavaError) as fault:
+        if not broken_is_empty:
+            raise ValueError(f"{path} is no author configuration") from fault
+        return empty
+    if not readable:
+        if not broken_is_empty:
+            raise ValueError(f"{path} is no author configuration")
         return empty
     return alias_table(config.select(F.posexplode("authors").alias("ord", "mapping")).select("ord", "mapping.*"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.functions.paths import is_code_file, unquoted_path
+from creditledger.sources.files import read_records
 
 COMMIT_MARKER = "@@COMMIT@@:"
 
@@ -23,7 +24,7 @@ def read_patch_records(spark: SparkSession, path: str, marker: str = COMMIT_MARK
     """value: `<hash><tab><author>` and the patch of one commit."""
     first = F.when(F.col("value").startswith(marker), F.substring("value", len(marker) + 1, 2**31 - 1))
     return (
-        spark.read.text(path, lineSep="\n" + marker)
+        read_records(spark, path, "\n" + marker)
         .select(first.otherwise(F.col("value")).alias("value"))
         .filter(F.col("value") != "")
     )

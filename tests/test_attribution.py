@@ -82,3 +82,11 @@ def test_entries_keep_one_sided_people(spark):
     lost = spark.createDataFrame([("t", "Alice", 1)], "type string, author string, deleted long")
     rows = contributions(ledger_entries(facts, lost)).collect()
     assert {(r.author, r.lines, r.deleted, r.net) for r in rows} == {("Bob", 1, 0, 1), ("Alice", 0, 1, -1)}
+
+
+def test_null_keys_keep_their_chain_across_slices(spark):
+    rows = [(k, n, who) for k in (None, "x") for n, who in enumerate(["a", "b", "b", "c", "a", "d"])]
+    touches = spark.createDataFrame(rows, "k string, n int, who string")
+    got = displacements(touches, ["k"], ["n"], "who", slices=[F.floor(F.col("n") / 2)]).collect()
+    for k in (None, "x"):
+        assert sorted((r.n, r.displaced) for r in got if r.k == k) == [(1, "a"), (3, "b"), (4, "c"), (5, "a")]

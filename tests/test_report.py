@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditledger.functions.shares import share_text
-from creditledger.operators.rollup import in_report_order, ledger_entries, report, table_rows
+from creditledger.operators.rollup import DELETED, LINES, in_report_order, ledger_entries, report, share_in_group, table_rows
 from creditledger.session import ensure_checkpoint_dir
 from creditledger.sinks.report_files import check_outputs_absent, write_report
 
@@ -144,3 +144,30 @@ def test_checkpoint_folder_in_use_stays(spark):
     folder = spark.sparkContext.getCheckpointDir()
     ensure_checkpoint_dir(spark)
     assert folder and spark.sparkContext.getCheckpointDir() == folder
+
+
+def test_csv_keeps_blanks_at_the_ends_of_names(spark, tmp_path):
+    names = [" Bob", "Bob", "Bob ", "\tBob"]
+    entries = spark.createDataFrame([("code", n, LINES, 1) for n in names], "type string, author string, entry string, n long")
+    write_report(entries, str(tmp_path / "out"), with_losses=False)
+    rows = spark.read.csv(
+        str(tmp_path / "out" / "report_csv"), header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    assert sorted({r.author for r in rows.collect() if r.author}) == sorted(names)
+
+
+def test_numeric_authors_have_a_document(spark, tmp_path):
+    entries = spark.createDataFrame(
+        [("code", 7, LINES, 2), ("code", 8, DELETED, 1)], "type string, author long, entry string, n long"
+    )
+    write_report(entries, str(tmp_path / "out"), with_losses=True)
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report_json")).collect())
+    assert {x["author"] for x in json.loads(text)["by_author"]} == {7, 8}
+
+
+def test_null_type_keeps_its_share(spark):
+    entries = spark.createDataFrame(
+        [(None, "a", LINES, 1), (None, "b", LINES, 3), ("code", "a", LINES, 2)], "type string, author string, entry string, n long"
+    )
+    got = {(r.type, r.author): (r.lines, r.group_lines) for r in share_in_group(entries).collect()}
+    assert got == {(None, "a"): (1, 4), (None, "b"): (3, 4), ("code", "a"): (2, 2)}

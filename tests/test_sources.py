@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from creditledger.functions.paths import unquoted_path
 from creditledger.operators.facts import window_facts
 from creditledger.sources.blame_dump import read_blame_dump
 from creditledger.operators.files import inventory
@@ -159,6 +160,45 @@ def test_dump_feeds_the_range_report(spark, tmp_path):
     assert {r.author: r.lines for r in facts} == want
 
 
+@pytest.mark.parametrize("split", ["64b", "128m"])
+def test_dumps_of_any_depth_and_name(spark, tmp_path, split):
+    names = ["top", "sub/inner", "_init", "sub/.hid", ".github/ci", "a/_b/c=1"]
+    want = []
+    for n, name in enumerate(names):
+        text, rows = dump(n, 5)
+        want += [(r[2], r[4]) for r in rows]
+        (tmp_path / "dumps" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "dumps" / name).write_text(text)
+        log = f"@@COMMIT@@:h{n}\tAnn\n\ndiff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -{n + 1} +0,0 @@\n-gone\n"
+        (tmp_path / "logs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "logs" / name).write_text(log)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = read_blame_dump(spark, str(tmp_path / "dumps")).collect()
+        hunks = read_patch_log(spark, str(tmp_path / "logs")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.author, r.content) for r in got) == sorted(want)
+    assert sorted((r.commit_id, r.start) for r in hunks) == [(f"h{n}", n + 1) for n in range(len(names))]
+
+
+@pytest.mark.parametrize(
+    ("quoted", "want"),
+    [
+        ("plain.md", "plain.md"),
+        (r'"a/\303\244.md"', "a/\u00e4.md"),
+        (r'"a\\303.md"', r"a\303.md"),
+        (r'"x\377.md"', "x\ufffd.md"),
+        (r'"a\tb\"c.md"', 'a\tb"c.md'),
+        ('""', ""),
+    ],
+)
+def test_quoted_paths(spark, quoted, want):
+    row = spark.createDataFrame([(quoted,)], "p string").select(unquoted_path(F.col("p"))).first()
+    assert row[0] == want
+
+
 def test_author_config(spark, tmp_path):
     path = tmp_path / "authors.json"
     path.write_text(json.dumps({"authors": [
@@ -167,7 +207,9 @@ def test_author_config(spark, tmp_path):
     rows = {tuple(r) for r in read_author_config(spark, str(path)).collect()}
     assert rows == {("email", "a@x.org", "A", 0), ("name", "ann", "A", 0), ("name", "ann b", "A", 0), ("name", "ann", "B", 1)}
     path.write_text("not json")
-    assert read_author_config(spark, str(path)).count() == 0
+    with pytest.raises(ValueError, match="no author configuration"):
+        read_author_config(spark, str(path))
+    assert read_author_config(spark, str(path), broken_is_empty=True).count() == 0
     assert read_author_config(spark, str(tmp_path / "missing.json")).count() == 0
 
 
