@@ -218,6 +218,25 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Few enough for most documents to have several runs, and several blocks of runs.
+RUN_LINES, BLOCK_RUNS, BIN_LINES = 4, 2, 8
+
+
+def line_countable_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = views.lines(spark, sf_dir).withColumn("type", path_functions.file_type(F.col("path")))
+    return classify_lines(typed, DOC, keep=["type"], type_="type", run_lines=RUN_LINES)
+
+
+def line_counts_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_lines(
+        views.lines(spark, sf_dir), FILE, run_lines=RUN_LINES, block_runs=BLOCK_RUNS
+    )
+    type_ = path_functions.file_type(F.col("path"))
+    return counted.select(
+        "doc_id", "n_lines", "n_filled", "n_code", countable(type_).alias("countable")
+    )
+
+
 def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = views.marked_texts(spark, sf_dir).select(
         "doc_id", "content", path_functions.file_type(F.col("path")).alias("type")
@@ -312,7 +331,9 @@ def _code_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunk_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = hunk_lines(views.hunks(spark, sf_dir), _parent_lines(spark, sf_dir), DOC)
+    joined = hunk_lines(
+        views.hunks(spark, sf_dir), _parent_lines(spark, sf_dir), DOC, bin_lines=BIN_LINES
+    )
     return joined.select(
         "doc_id", "commit_id", "start", "cnt", "line_no", "content", "raw_author", "deleting_author"
     )
@@ -419,6 +440,8 @@ QUERIES: dict[str, Query] = {
     "line_prefix_and_blank": line_prefix_and_blank,
     "line_countable": line_countable,
     "line_counts": line_counts,
+    "line_countable_in_runs": line_countable_in_runs,
+    "line_counts_in_runs": line_counts_in_runs,
     "file_line_counts": file_line_counts,
     "alias_dimension": alias_dimension,
     "identity_resolve": identity_resolve,

@@ -132,13 +132,15 @@ def lines_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hunk per document, anywhere in it and of any length up to all of it."""
     doc_id = F.col("doc_id")
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     return read(spark, sf_dir, "documents").select(
         "doc_id",
         path_of(doc_id).alias("path"),
         (doc_id % 40).alias("commit_id"),
-        (1 + doc_id % 5).alias("start"),
-        (1 + doc_id % 4).alias("cnt"),
+        (1 + doc_id * 7 % n_lines).alias("start"),
+        (1 + doc_id * 11 % n_lines).alias("cnt"),
         F.when(doc_id % 3 == 0, "alice")
         .when(doc_id % 3 == 1, "Bob <bob@x.org>")
         .otherwise("dave")

@@ -51,7 +51,7 @@ SELECT doc_id, path, n + 1 AS line_no,
 FROM v_plain"""
 
 HUNKS = """
-SELECT doc_id, path, doc_id % 40 AS commit_id, 1 + doc_id % 5 AS start, 1 + doc_id % 4 AS cnt,
+SELECT doc_id, path, doc_id % 40 AS commit_id, 1 + doc_id * 7 % len(string_split(text, chr(10))) AS start, 1 + doc_id * 11 % len(string_split(text, chr(10))) AS cnt,
   CASE doc_id % 3 WHEN 0 THEN 'alice' WHEN 1 THEN 'Bob <bob@x.org>' ELSE 'dave' END AS deleting_author
 FROM v_paths"""
 
@@ -432,6 +432,17 @@ ORACLES: dict[str, str] = {
         CAST(sum(code) AS BIGINT) AS n_code, CAST(sum({COUNTABLE}) AS BIGINT) AS countable
         FROM flagged JOIN (SELECT doc_id, type FROM v_types) USING (doc_id) GROUP BY 1""",
     ),
+    "line_countable_in_runs": _with(
+        {**LINE_VIEWS, "v_types": PATH_TYPES, **_automaton("v_lines", "doc_id")},
+        f"SELECT doc_id, line_no, type, ({COUNTABLE}) = 1 AS countable"
+        " FROM flagged JOIN (SELECT doc_id, type FROM v_types) USING (doc_id)",
+    ),
+    "line_counts_in_runs": _with(
+        {**LINE_VIEWS, "v_types": PATH_TYPES, **_automaton("v_lines", "doc_id")},
+        f"""SELECT doc_id, count(*) AS n_lines, CAST(sum(filled) AS BIGINT) AS n_filled,
+        CAST(sum(code) AS BIGINT) AS n_code, CAST(sum({COUNTABLE}) AS BIGINT) AS countable
+        FROM flagged JOIN (SELECT doc_id, type FROM v_types) USING (doc_id) GROUP BY 1""",
+    ),
     "file_line_counts": _with(
         {**LINE_VIEWS, "v_types": PATH_TYPES, **_automaton("v_lines", "doc_id")},
         f"""SELECT doc_id, CAST(sum({COUNTABLE}) AS BIGINT) AS countable
