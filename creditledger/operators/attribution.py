@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditledger.operators.joins import null_safe_join
 
@@ -85,6 +86,24 @@ def _slice_chain(
     )
 
 
+def default_slices(touches: DataFrame, position: str) -> list[Column]:
+    """Slices of a time (hours, days), a date (days, 32 days) or a whole number (4096,
+    about a million); none for other types."""
+    at, kind = F.col(position), touches.schema[position].dataType
+    if isinstance(kind, T.TimestampType):
+        seconds = F.unix_micros(at) / 1_000_000
+        return [F.floor(seconds / 3600), F.floor(seconds / 86400)]
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.datediff(at, F.lit("1970-01-01").cast("date"))
+        return [day * 24 + F.hour(at), day]
+    if isinstance(kind, T.DateType):
+        day = F.datediff(at, F.lit("1970-01-01").cast("date"))
+        return [day, F.floor(day / 32)]
+    if isinstance(kind, T.IntegralType):
+        return [F.floor(at / (1 << 12)), F.floor(at / (1 << 20))]
+    return []
+
+
 def displacements(
     touches: DataFrame,
     keys: Sequence[str],
@@ -92,7 +111,7 @@ def displacements(
     actor: str,
     after: Column | None = None,
     until: Column | None = None,
-    slices: Sequence[Column] = (),
+    slices: Sequence[Column] | None = None,
     op: str | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -101,10 +120,13 @@ def displacements(
 
     `slices` are expressions that never decrease along the order, finest first,
     such as the hour and the day of a time stamp; choose the finest so that one
-    slice of the busiest key fits into a task. Touches ahead of the window are
+    slice of the busiest key fits into a task. Without any, `default_slices` are
+    taken; an empty list sorts the whole window of a key in one task. Touches ahead of the window are
     reduced to the last one per key before any shuffle; only the window itself
     is sorted.
     """
+    if slices is None:
+        slices = default_slices(touches, order[0])
     names = [f"_slice{i}" for i in range(max(len(slices), 1))]
     in_window = _bounds(order[0], after, None)
     state = F.struct(F.col(actor).alias("who"), (F.col(op) if op else F.lit("change")).alias("what"))

@@ -59,7 +59,7 @@ def touch_losses(
     type_: str,
     after: Column | None,
     until: Column | None,
-    slices: Sequence[Column] = (),
+    slices: Sequence[Column] | None = None,
     op: str | None = None,
 ) -> DataFrame:
     """type, author, deleted: displacements counted for whom they displaced."""
@@ -78,7 +78,7 @@ def touch_entries(
     type_: str,
     after: Column | None,
     until: Column | None,
-    slices: Sequence[Column] = (),
+    slices: Sequence[Column] | None = None,
     op: str | None = None,
 ) -> DataFrame:
     """The range report on any touch log: last touches are credited, displaced

@@ -90,3 +90,20 @@ def test_null_keys_keep_their_chain_across_slices(spark):
     got = displacements(touches, ["k"], ["n"], "who", slices=[F.floor(F.col("n") / 2)]).collect()
     for k in (None, "x"):
         assert sorted((r.n, r.displaced) for r in got if r.k == k) == [(1, "a"), (3, "b"), (4, "c"), (5, "a")]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "long", "double"])
+def test_default_slices_change_no_row(spark, kind):
+    rng = random.Random(9)
+    rows = [(i % 3, i, rng.choice("abc")) for i in range(90)]
+    at = {
+        "long": F.col("i") * 1700,
+        "double": F.col("i") / 2,
+        "date": F.date_add(F.lit("2024-02-01").cast("date"), F.col("i").cast("int")),
+    }.get(kind, F.timestamp_seconds(F.col("i") * 2500 - 40_000))
+    touches = spark.createDataFrame(rows, "k int, i long, who string").withColumn("at", at.cast(kind))
+
+    def run(**settings):
+        return sorted(map(tuple, displacements(touches, ["k"], ["at", "i"], "who", keep=["i"], **settings).select("k", "i", "displaced").collect()))
+
+    assert run() == run(slices=[])
