@@ -47,7 +47,7 @@ SLOTS = 64
 MISS = 1e-5
 #: Members of a bucket, and shingles of a family, that are a block.
 BUCKET_BLOCK = 4096
-FAMILY_BLOCK = 2_000_000
+FAMILY_BLOCK = 1_000_000
 #: So many ids (16 bytes each) are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
