@@ -67,7 +67,8 @@ _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _NUMBER = re.compile(r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w]|[.,-]\d)")
-_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w]|[.-]\d)")
+_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,8}){1,4}(?![\w]|[.-]\d)")
+_DATE = re.compile(r"(?:19|20)\d\d[-. ][01]?\d[-. ][0-3]?\d(?!\d)|[0-3]?\d[-. ][01]?\d[-. ](?:19|20)\d\d(?!\d)")
 _WIDE_PHONE = re.compile(r"(?<!\w)\+\d{8,15}(?!\w)")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<!\w)(?:ghp_|gho_|sk-|xox[bp]-)[\w-]{16,}")
 _ASSIGNED = re.compile(
@@ -112,7 +113,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in (*_PHONE.finditer(text), *_WIDE_PHONE.finditer(text)):
             digits = _digits(m.group())
             marked = m.group().startswith("+") or "(" in m.group()
-            if 7 <= len(digits) <= 15 and (marked or len(digits) >= 9):
+            if 7 <= len(digits) <= 15 and (marked or len(digits) >= 9 and not _DATE.match(m.group())):
                 national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
                 found.append((*m.span(), "phone", national))
     found += _names(text)

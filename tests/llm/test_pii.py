@@ -22,6 +22,8 @@ def kinds(text):
         ('token = "1beb58b8af68854f"', [("secret", "1beb58b8af68854f")]),
         ("host 2001:0db8:0:0:0:0:0:1 up", [("ipv6", "2001:0db8:0:0:0:0:0:1")]),
         ("Anna Petrov came. Petrov left.", [("given", "Anna"), ("family", "Petrov"), ("family", "Petrov")]),
+        ("call +49 30 1234567 or (988) 555-2485", [("phone", "+49 30 1234567"), ("phone", "(988) 555-2485")]),
+        ("on 2024-01-02 10:30 and 31.12.2023 1200", []),
         ("version 4.0, 2024-01-02, 10.5 %, page 123", []),
         ("the mark of the peter principle", []),
     ],
