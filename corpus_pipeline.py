@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditledger.llm.common import stored
+from creditledger.llm.common import importable, stored
 from creditledger.llm.decontaminate import drop_contaminated
 from creditledger.llm.exact import drop_exact_copies
 from creditledger.llm.language import drop_rejected
@@ -24,23 +24,28 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return drop_rejected(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return drop_near_copies(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece, without its ids: they follow from the text, start and length."""
+    importable(spark)
     return pack(docs, tokenizer_file()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers look for this package where the driver found it; on a
+    cluster that does not have it there, it is installed or sent with --py-files."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, root]))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a written table: its lineage ends there, so that an executor lost
     later costs a read and not the work before."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.llm import sql, toxicity
-from creditledger.llm.common import shared_folder
+from creditledger.llm.common import importable, shared_folder
 from creditledger.llm.decontaminate import benchmark_hits, is_contaminated
 from creditledger.llm.exact import exact_groups
 from creditledger.llm.language import held_out, identify
@@ -21,6 +21,7 @@ from creditledger.llm.warc import read_archive, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

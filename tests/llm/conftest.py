@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import types as T
 
+from creditledger.llm.common import importable
+
 COLUMNS = ("_text", "score", "n", "key", "sig", "bucket", "cuts", "label", "rejected", "_c0", "kept", "row")
 
 
@@ -48,3 +50,8 @@ def edges(table):
 @pytest.fixture(scope="session")
 def nothing(table):
     return table([]).filter("false")
+
+
+@pytest.fixture(scope="session", autouse=True)
+def workers_find_the_package(spark):
+    importable(spark)
