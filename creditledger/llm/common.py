@@ -28,9 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Rows of texts handed to Python at a time, where the session has Spark's default.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 500, "10000"
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers look for this package where the driver found it; on a
-    cluster that does not have it there, it is installed or sent with --py-files."""
+    cluster that does not have it there, it is installed or sent with --py-files.
+    Batches of rows are made smaller than Spark's default, as a row is a whole text."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, DEFAULT_BATCH_ROWS) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:

@@ -44,7 +44,7 @@ from creditledger.llm.common import Ranges, flat, slices, stored
 DEPTH = 50
 GRAM = 20
 #: Text whose runs are settled together before they are sent; text for each bucket.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 HOT = 50_000
 KEY_BITS, RUN_BITS = 48, 40
@@ -142,7 +142,7 @@ def _deal(buckets: int, depth: int, gram: int, shift: int):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             data, places = flat(batch.column("text"))
             first, last, text, key, run = anchors(data, places, depth, gram)
             doc = batch.column("doc").to_numpy()[text] if len(text) else text
