@@ -1,10 +1,11 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from creditledger.llm import quality
-from creditledger.llm.quality import judge, perplexities
+from creditledger.llm.quality import judge, perplexities, recency
 from tests.llm.conftest import EDGES
 
 WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one".split()
@@ -74,3 +75,16 @@ def test_edges(spark, edges, nothing):
     none = judge(edges, trusted.filter("false")).collect()
     assert {(r.perplexity, r.kept) for r in none if r.doc_id == 1} == {(None, True)}
     assert judge(nothing, trusted).count() == 0
+
+
+def test_recency_counts_back_in_words():
+    texts = pa.array([b"Der der, der und der", None, b"a b c a", b"...", " é x é".encode()])
+    assert recency(texts).to_pylist() == [b"ABBAC", b"", b"AAAD", b"", b"AAC"]
+
+
+def test_repeated_ordinary_words_go(spark, table):
+    rows = [(i, good(i)) for i in range(120)]
+    rows += [(200 + i, " ".join(w for k in range(4) for w in [WORDS[(i + k) % len(WORDS)]] * 15)) for i in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(90)], "doc_id long")
+    kept = {r.doc_id for r in judge(table(rows), trusted).collect() if r.kept}
+    assert kept == set(range(120))
