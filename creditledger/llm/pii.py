@@ -3,13 +3,17 @@
 Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card and
 other long account numbers, IBANs, US social security numbers, secrets (access keys,
 tokens, passwords) and names of persons (a known given name or a form of address and
-the capitalised words after it). Every entity has a canonical form; its surrogate
+the capitalised words after it, of any letters, with initials and particles between
+them; given names not in GIVEN are found after a form of address only). Telephone numbers
+without separators count after a word for telephone, or where the same text has the number
+in another form. Every entity has a canonical form; its surrogate
 depends on that form and the key alone, so all mentions in all documents agree:
 
 * digits become digits and letters letters of the same case, punctuation stays; card
   numbers keep their first digit and whether their check digit is right, IBANs their
   country and a right check number, telephone numbers their country prefix, addresses
   their range, e-mails end in a domain reserved for examples;
+* an initial becomes another one, one to one; particles of a name stay;
 * a given name becomes the next of its gender and script in an order set by the key,
   which is one to one; a family name becomes an invented one of the same script, and
   is replaced alone too where the document names the person in full.
@@ -29,7 +33,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,15 +60,18 @@ SYLLABLES = {
     "latin": "bar bel cor dan del fen gal har kel lan lor mar mel nor pal ran rol sal sen tar tel tor val ver vin wel".split(),
     "cyrillic": "бар бел вер вин гал дан зор кар лан лор мар мил нов пав рад рос сан тар тел тор".split(),
 }
-_CAPITAL, _SMALL = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
-_WORD = re.compile(rf"\b[{_CAPITAL}][{_SMALL}]+\b")
-_FAMILY = rf"[{_CAPITAL}][{_SMALL}]+(?:-[{_CAPITAL}][{_SMALL}]+)?"
-_ADDRESSED = re.compile(rf"\b(Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b\.? ({_FAMILY})")
-_AFTER = re.compile(rf" ({_FAMILY})")
+#: Letters, of which a name has one to one others.
+INITIALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ")
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_PART = re.compile(rf" ((?:{_LETTER})+(?:[-'’](?:{_LETTER})+)*)")
+_PARTICLES = set("af al av bin da dal de del della den der des di do dos du e el ibn la las le los ten ter van von y zu zum zur".split())
+_ELIDED = re.compile(r"(?:d|l|dell|dall)['’](?=(.))")
+_ADDRESSED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b\.?(?= )")
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names.split()}
+_GIVEN_WORD = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_GIVEN, key=len, reverse=True)) + r")(?![\w\u0300-\u036f])")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[^\W_](?:[\w-]{0,62})\.)+[^\W\d_]{2,24}(?![\w-])")
-_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4})?(?![\w:]|\.\d)")
 _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -70,6 +79,11 @@ _NUMBER = re.compile(r"(?<![\w.,-])\d(?:[ -]?\d){12,18}(?![\w]|[.,-]\d)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,8}){1,4}(?![\w]|[.-]\d)")
 _DATE = re.compile(r"(?:19|20)\d\d[-. ][01]?\d[-. ][0-3]?\d(?!\d)|[0-3]?\d[-. ][01]?\d[-. ](?:19|20)\d\d(?!\d)")
 _WIDE_PHONE = re.compile(r"(?<!\w)\+\d{8,15}(?!\w)")
+_PLAIN_PHONE = re.compile(r"(?<![\w.,+-])\d{7,12}(?![\w]|[.,-]\d)")
+_CALLED = re.compile(
+    r"\b(?:tel|phone|telephone|mobile|cell|fax|call|sms|whatsapp|telefon|mobil|handy|anruf|tél|téléphone|teléfono|móvil)\b[^\w\n]{0,3}(?:(?:no|nr|number|is|at)\b[^\w\n]{0,3})?$",
+    re.IGNORECASE,
+)
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<!\w)(?:ghp_|gho_|sk-|xox[bp]-)[\w-]{16,}")
 _ASSIGNED = re.compile(
     r"\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?([^\s\"']{6,})", re.IGNORECASE
@@ -93,6 +107,16 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+def _ipv6(mention: str) -> str | None:
+    """The address in full, or None if it is none. Names such as `add::bad` need a digit."""
+    if not any(c.isdigit() for c in mention):
+        return None
+    try:
+        return ipaddress.IPv6Address(mention).exploded
+    except ValueError:
+        return None
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
@@ -100,7 +124,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "email", m.group().casefold()) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m.group(1)) for m in _ASSIGNED.finditer(text)]
-        found += [(*m.span(), "ipv6", m.group().lower()) for m in _IPV6.finditer(text)]
+        found += [(*m.span(), "ipv6", form) for m in _IPV6.finditer(text) if (form := _ipv6(m.group()))]
     if re.search(r"\d", text):
         found += [(*m.span(), "secret", m.group()) for m in _ACCESS.finditer(text)]
         found += [(*m.span(), "ipv4", m.group()) for m in _IPV4.finditer(text)]
@@ -116,6 +140,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if 7 <= len(digits) <= 15 and (marked or len(digits) >= 9 and not _DATE.match(m.group())):
                 national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
                 found.append((*m.span(), "phone", national))
+        known = {x[3] for x in found if x[2] == "phone"}
+        for m in _PLAIN_PHONE.finditer(text):
+            digits = m.group()
+            national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
+            if national in known or _CALLED.search(text, max(0, m.start() - 40), m.start()):
+                found.append((*m.span(), "phone", national))
     found += _names(text)
     found.sort(key=lambda x: (x[0], x[0] - x[1]))
     out: list[tuple[int, int, str, str]] = []
@@ -125,21 +155,57 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _after(text: str, at: int) -> list[tuple[int, int, str, str]]:
+    """The given names, initials and family names that follow each other from `at` on."""
+    found: list[tuple[int, int, str, str]] = []
+    while m := _PART.match(text, at):
+        start, word = m.start(1), m.group(1)
+        if word.endswith(("'s", "’s")):
+            word = word[:-2]
+        at = start + len(word)
+        elided = _ELIDED.match(word)
+        letter = unicodedata.normalize("NFD", word)[0]
+        if word in _PARTICLES:
+            if word in ("e", "y") and not any(x[2] == "family" for x in found):
+                break
+            continue
+        if word in _GIVEN:
+            found.append((start, at, "given", word))
+        elif len(unicodedata.normalize("NFC", word)) == 1 and any(letter in x for x in INITIALS):
+            found.append((start, at, "given", letter))
+            at += text[at : at + 1] == "."
+        elif word[0].isupper() or word[0].istitle() or (elided and elided.group(1).isupper()):
+            found.append((start, at, "family", word))
+        else:
+            break
+    return found
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
-    found, families = [], set()
-    for m in _WORD.finditer(text):
-        if m.group() in _GIVEN and (after := _AFTER.match(text, m.end())) and after.group(1) not in _GIVEN:
-            found.append((*m.span(), "given", m.group()))
-            families.add(after.group(1))
-    families.update(m.group(2) for m in _ADDRESSED.finditer(text))
+    found, families, end = [], set(), 0
+    for m in _GIVEN_WORD.finditer(text):
+        rest = _after(text, m.end()) if m.start() >= end else []
+        # An initial alone is no name: 'Anna I ...'.
+        if any(len(x[3]) > 1 for x in rest):
+            found += [(*m.span(), "given", m.group()), *(x for x in rest if x[2] == "given")]
+            families.update(x[3] for x in rest if x[2] == "family")
+            end = rest[-1][1]
+    for m in _ADDRESSED.finditer(text):
+        rest = _after(text, m.end())
+        if any(len(x[3]) > 1 for x in rest):
+            found += [x for x in rest if x[2] == "given"]
+            families.update(x[3] for x in rest if x[2] == "family")
+    found = list(dict.fromkeys(found))
     if families:
-        spaced = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(families, key=len, reverse=True))) + r")(?![\w-])")
-        found += [(*m.span(), "family", m.group().casefold()) for m in spaced.finditer(text)]
-        named = {x[3] for x in found if x[2] == "given"}
-        if named:
-            # A given name that the document has in full is replaced where it stands alone.
-            full = {x[:2] for x in found}
-            found += [(*m.span(), "given", m.group()) for m in _WORD.finditer(text) if m.group() in named and m.span() not in full]
+        either = {f.replace("’", "'") for f in families}
+        either |= {f.replace("'", "’") for f in either}
+        spaced = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(either, key=len, reverse=True))) + r")(?![\w\u0300-\u036f-])")
+        found += [(*m.span(), "family", m.group().casefold().replace("’", "'")) for m in spaced.finditer(text)]
+    named = {x[3] for x in found if x[2] == "given" and len(x[3]) > 1}
+    if named:
+        # A given name that the document has in full is replaced where it stands alone.
+        full = {x[:2] for x in found}
+        found += [(*m.span(), "given", m.group()) for m in _GIVEN_WORD.finditer(text) if m.group() in named and m.span() not in full]
     return found
 
 
@@ -152,6 +218,9 @@ class Surrogates:
         for kind, names in GIVEN.items():
             order = sorted(names.split(), key=lambda n: self._bytes(f"order {kind}", n, 0)[:16])
             self.given.update(zip(order, order[1:] + order[:1], strict=True))
+        for letters in INITIALS:
+            order = sorted(letters, key=lambda n: self._bytes("order initials", n, 0)[:16])
+            self.given.update(zip(order, order[1:] + order[:1], strict=True))
 
     def _bytes(self, kind: str, form: str, attempt: int, size: int = 32) -> bytes:
         out, block = b"", 0

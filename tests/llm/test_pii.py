@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from creditledger.llm import pii
@@ -26,6 +28,16 @@ def kinds(text):
         ("on 2024-01-02 10:30 and 31.12.2023 1200", []),
         ("version 4.0, 2024-01-02, 10.5 %, page 123", []),
         ("the mark of the peter principle", []),
+        ("Mary McDonald and Anna Wiśniewska", [("given", "Mary"), ("family", "McDonald"), ("given", "Anna"), ("family", "Wiśniewska")]),
+        ("Anna O'Brien left. O’Brien's car", [("given", "Anna"), ("family", "O'Brien"), ("family", "O’Brien")]),
+        ("John F. Kennedy spoke", [("given", "John"), ("given", "F"), ("family", "Kennedy")]),
+        ("Maria Garcia Lopez came", [("given", "Maria"), ("family", "Garcia"), ("family", "Lopez")]),
+        ("John Michael Smith's dog", [("given", "John"), ("given", "Michael"), ("family", "Smith")]),
+        ("Charles de Gaulle; Mr. McDonald", [("given", "Charles"), ("family", "Gaulle"), ("family", "McDonald")]),
+        ("at 2001:db8::1, fe80::1. 10:30:45 std::a", [("ipv6", "2001:db8::1"), ("ipv6", "fe80::1")]),
+        ("Tel.: 9885552485", [("phone", "9885552485")]),
+        ("(988) 555-2485 is 9885552485", [("phone", "(988) 555-2485"), ("phone", "9885552485")]),
+        ("item 9885552485", []),
     ],
 )
 def test_find(text, want):
@@ -90,3 +102,12 @@ def test_edges(edges, nothing):
     assert sorted(((r.doc_id or 0), r.text) for r in got if r.text) == sorted(((i or 0), t) for i, t in EDGES if t)
     assert [r.text for r in got if r.doc_id == 2] == [None] and len(got) == len(EDGES)
     assert replace(nothing, KEY).count() == 0
+
+
+def test_names_change_whole(table):
+    text = "Mary McDonald, Anna Wiśniewska, John F. Kennedy, Maria Garcia Lopez, John Michael Smith, 2001:db8::1."
+    (row,) = replace(table([(1, text)]), KEY).collect()
+    was, now = (re.findall(r"[\w:]+", t) for t in (text, row.text))
+    assert len(was) == len(now)
+    # One given name may become another of the text, but none stays in its place.
+    assert [a for a, b in zip(was, now, strict=True) if a == b] == []
