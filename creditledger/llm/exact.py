@@ -1,10 +1,10 @@
-"""Exact duplicates by a tree merge of sorted digest runs.
+"""Exact duplicates by a tree of hash aggregations of digest runs.
 
 Texts are equal when they are identical after every run of ASCII white space has
 become one space; null counts as empty. Every partition of the digest table is a
 run. In each round, `fan_in` neighbouring runs become one: they meet by the first
-byte of the digest, are merged in digest order, and one row per digest goes on,
-with the smallest doc_id and the number of rows so far. So a group of copies of
+byte of the digest, are aggregated by digest (Spark drops the sort below, so this is
+a hash aggregation and no ordered merge), and one row per digest goes on, with the smallest doc_id and the number of rows so far. So a group of copies of
 any size sends one row per run, and no task ever sees the rows of a group. The
 lengths and a second hash are compared at every level; a digest that stands for
 two texts ends the job instead of dropping a row.
