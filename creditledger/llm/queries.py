@@ -18,6 +18,7 @@ from creditledger.llm.pii import replace
 from creditledger.llm.quality import judge
 from creditledger.llm.suffix_dedup import cut_repeats
 from creditledger.llm.warc import read_archive, write_archive
+from creditledger.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null here; the operator has it as a decimal."""
+    rows = whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_language_id": op2_language_id,
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
