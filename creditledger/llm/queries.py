@@ -16,6 +16,7 @@ from creditledger.llm.minhash import near_groups
 from creditledger.llm.packing import pack
 from creditledger.llm.pii import replace
 from creditledger.llm.quality import judge
+from creditledger.llm.simhash import simhash_groups
 from creditledger.llm.suffix_dedup import cut_repeats
 from creditledger.llm.warc import read_archive, write_archive
 from creditledger.llm.whitening import whiten
@@ -97,6 +98,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deviation beyond a long is null here; the operator has it as a decimal."""
     rows = whiten(_table(spark, sf_dir, "embeddings"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op11_simhash": op11_simhash,
     "op13_whitening": op13_whitening,
 }
 
