@@ -18,6 +18,7 @@ from creditledger.llm.pii import replace
 from creditledger.llm.quality import judge
 from creditledger.llm.simhash import simhash_groups
 from creditledger.llm.suffix_dedup import cut_repeats
+from creditledger.llm.variants import spelling_variants
 from creditledger.llm.warc import read_archive, write_archive
 from creditledger.llm.whitening import whiten
 
@@ -102,6 +103,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deviation beyond a long is null here; the operator has it as a decimal."""
     rows = whiten(_table(spark, sf_dir, "embeddings"))
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
     "op11_simhash": op11_simhash,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_whitening": op13_whitening,
 }
 
@@ -128,4 +134,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": sql.EXACT_DEDUP,
     "op8_decontamination": sql.DECONTAMINATION,
     "op9_near_dedup": sql.NEAR_DEDUP,
+    "op12_spelling_variants": sql.VARIANTS,
 }

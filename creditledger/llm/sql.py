@@ -74,3 +74,60 @@ SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM p LEFT JOIN g ON p.html = g.html AND payload_bytes >= 1000
 """
+
+VARIANTS = r"""
+WITH RECURSIVE bits AS (
+  SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, CASE c & 1 WHEN 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_byte AS (
+  SELECT b, c FROM bits WHERE k = 8
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), d AS (
+  SELECT doc_id, run, count(*) AS times, concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run) AS said FROM r GROUP BY doc_id, run
+), bytes AS (
+  SELECT said, flatten(list_transform(string_split(said, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)]
+    ELSE [195, unicode(c) - 64] END)) AS bs
+  FROM d
+), far AS (  -- what a byte does to the sum when so many bytes are left, itself included
+  SELECT 1 AS dist, b, c FROM crc_byte
+  UNION ALL SELECT dist + 1, far.b, xor(far.c >> 8, t.c) FROM far JOIN crc_byte t ON t.b = far.c & 255
+  WHERE dist < (SELECT max(len(bs)) FROM bytes)
+), start AS (  -- the same of the initial ones
+  SELECT 0 AS dist, 4294967295 AS c
+  UNION ALL SELECT dist + 1, xor(start.c >> 8, t.c) FROM start JOIN crc_byte t ON t.b = start.c & 255
+  WHERE dist < (SELECT max(len(bs)) FROM bytes)
+), crc AS (
+  SELECT said, xor(xor(any_value(start.c), 4294967295), bit_xor(far.c)) AS h
+  FROM (SELECT said, len(bs) AS size, unnest(bs) AS b, len(bs) - generate_subscripts(bs, 1) + 1 AS dist FROM bytes) x
+    JOIN far ON far.dist = x.dist AND far.b = x.b JOIN start ON start.dist = size
+  GROUP BY said
+), slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, times
+  FROM d JOIN crc USING (said)
+), v AS (
+  SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), holes AS (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS z
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), shorter AS (
+  SELECT DISTINCT h.word AS long, h.n AS long_n, v.word AS short, v.n AS short_n FROM holes h JOIN v ON v.word = h.a || h.z
+), near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM holes x JOIN holes y ON x.a = y.a AND x.z = y.z WHERE x.word <> y.word
+  UNION ALL SELECT long, long_n, short, short_n FROM shorter
+  UNION ALL SELECT short, short_n, long, long_n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, min({'less': -other_n, 'form': other}) AS b FROM near GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.less >= 2 * v.n THEN b.form END AS form,
+    CASE WHEN -b.less >= 2 * v.n THEN -b.less END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT path.word, f.form FROM path JOIN forms f ON f.word = path.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, path.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN path USING (word) JOIN forms last ON last.word = path.root AND last.form IS NULL
+"""

@@ -18,7 +18,7 @@ def duck(small_dir):
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
     assert set(ORACLES) <= set(driver.oracle_sql())
 
