@@ -11,7 +11,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -54,6 +55,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key() -> list[Column]:
+    """Columns t1, t2: 128 bits that tell the text of a row; null counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+
+
+def _can_be_ordered(kind: str) -> bool:
+    return not any(word in kind for word in ("map<", "variant", "interval"))
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: list[Column] | None = None) -> DataFrame:
+    """`docs` without the rows whose doc_id and `key` (named columns, t1 and t2 unless
+    given) are in `gone`, and with one row for each that is in `repeated`: the smallest by
+    its columns. Ids alone decide nothing, as several texts may share one. Null ids
+    equal null ids."""
+    names = gone.columns
+    there = docs.select(F.struct("*").alias("row"), F.col("doc_id"), *(text_key() if key is None else key))
+
+    def met(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = others.toDF(*(f"_{n}" for n in names))
+        on = F.lit(True)
+        for n in names:
+            on = on & F.col(n).eqNullSafe(F.col(f"_{n}"))
+        return rows.join(others, on, how)
+
+    left = met(there, gone, "left_anti")
+    repeated = stored(repeated, "repeated")
+    if repeated.isEmpty():
+        return left.select("row.*")
+    order = F.struct(*(F.col("row")[c] for c, kind in docs.dtypes if _can_be_ordered(kind)))
+    one = met(left, repeated, "left_semi").groupBy(*names).agg(F.min_by("row", order).alias("row"))
+    return met(left, repeated, "left_anti").select("row.*").union(one.select("row.*"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in slices whose `column` (binary) holds about `limit` bytes."""
     for batch in batches:

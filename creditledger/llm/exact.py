@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditledger.llm.common import stored
+from creditledger.llm.common import keep_rows, stored
 
 FAN_IN = 16
 
@@ -86,7 +86,13 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` without the rows that exact_groups does not keep; rows without a doc_id
-    cannot be named, and stay."""
-    gone = exact_groups(docs, fan_in).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` with one row of each group of equal texts: the one with the smallest doc_id,
+    and of rows with that doc_id the smallest by its columns. The decision is by text and
+    doc_id: another text under the same doc_id is not touched by it. Rows without a
+    doc_id cannot be named, and all stay."""
+    rows = stored(exact_groups(docs, fan_in), "groups")
+    key = ["doc_id", "sha"]
+    named = rows.withColumnRenamed("text_sha256", "sha").filter("doc_id IS NOT NULL")
+    gone = named.filter("NOT kept").select(key).distinct()
+    repeated = named.filter("kept AND group_size > 1").groupBy(key).count().filter("count > 1").select(key)
+    return keep_rows(docs, gone, repeated, [F.sha2(normalised(F.col("text")), 256).alias("sha")])

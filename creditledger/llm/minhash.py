@@ -31,15 +31,16 @@ compared as 64-bit hashes, classes as 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditledger.llm.common import Ranges, flat, mix, slices, stored, word_edges
+from creditledger.llm.common import Ranges, flat, keep_rows, mix, slices, stored, text_key, word_edges
+from creditledger.llm.graph import cells, column, components, forest_edges
 
 PERCENT = 85
 WORDS = 5
@@ -122,7 +123,7 @@ def chunk_keys(sig: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2, sig of every row."""
+    """doc_id, n, h1, h2, sig and the text's key t1, t2 of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
@@ -135,16 +136,18 @@ def _sets_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("t1"),
+                    batch.column("t2"),
                     pa.array(np.diff(places).astype(np.int64)),
                     pa.array(h[0]),
                     pa.array(h[1]),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS), len(sig), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
                 ],
-                ["doc_id", "n", "h1", "h2", "sig"],
+                ["doc_id", "t1", "t2", "n", "h1", "h2", "sig"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("_text"))
-    return rows.mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("binary").alias("_text"))
+    return rows.mapInArrow(sketch, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,35 +155,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.reshape(-1, SLOTS)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of equal leading `keys` columns, which come together."""
-    held: list[pa.RecordBatch] = []
-
-    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
-        return all(a.column(k)[i] == b.column(k)[j] for k in range(keys))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in range(keys):
-            values = batch.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= values[1:] != values[:-1]
-        edges = [0, *np.flatnonzero(change), batch.num_rows]
-        for low, high in zip(edges, edges[1:], strict=False):
-            if held and not same(held[0], 0, batch, low):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _column(table: pa.Table, name: str) -> pa.Array:
-    column = table.column(name)
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
 def hamming_forest(sig: np.ndarray, distance: int) -> np.ndarray:
     """For each row the first row of its component, where rows within `distance` are linked."""
     root = np.full(len(sig), -1)
@@ -226,65 +200,6 @@ def link_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _edges(task: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], keys: int) -> Callable:
-    """Applies `task` (a group -> nodes, root place of each) to sorted groups; emits (a, b), a before b."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
-        for group in _groups(batches, keys):
-            node, root = task(group)
-            linked = root != np.arange(len(root))
-            if linked.any():
-                a.append(node[root[linked]])
-                b.append(node[linked])
-                held += int(linked.sum())
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b, held = [], [], 0
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return run
-
-
-def _cells(rows: DataFrame, group: str, block: Column, blocks: Column) -> DataFrame:
-    """Rows with `_i`, `_j`: the cells of pairs of blocks of the group that a row is in."""
-    low = F.transform(F.sequence(F.lit(0), block), lambda i: F.struct(i.alias("_i"), block.alias("_j")))
-    high = F.transform(F.sequence(block, blocks - 1), lambda j: F.struct(block.alias("_i"), j.alias("_j")))
-    return (
-        rows.withColumn("_cell", F.explode(F.array_distinct(F.concat(low, high))))
-        .select(group, "_cell._i", "_cell._j", *(c for c in rows.columns if c != group))
-        .repartition(group, "_i", "_j")
-        .sortWithinPartitions(group, "_i", "_j")
-    )
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of its component, for every node of an edge.
-
-    Large-star and small-star steps in turn; each round is written out, and only
-    counts come to the driver."""
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b")
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
-        step = large.join(small, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))
-        edges = stored(
-            step.union(small.select(F.col("m"), F.col("b"))).filter("x <> y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")),
-            "edges",
-        )
-        # xxhash64 sums wrap only as decimals do not; equal rows give equal sums.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    return nodes.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-
-
 def _families(classes: DataFrame, distance: int, bucket_block: int) -> DataFrame:
     """(node, label) of classes with a neighbour within the radius."""
 
@@ -304,12 +219,12 @@ def _families(classes: DataFrame, distance: int, bucket_block: int) -> DataFrame
     members = keys.join(kept, "key").join(classes.select("node", "sig"), "node")
     blocks = F.ceil(F.col("size") / bucket_block).cast("int")
     block = F.pmod(F.xxhash64("node"), F.col("size")) % blocks
-    cells = _cells(members.select("key", "node", "sig", block.cast("int").alias("_b"), blocks.alias("_n")), "key", F.col("_b"), F.col("_n"))
+    dealt = cells(members.select("key", "node", "sig", block.cast("int").alias("_b"), blocks.alias("_n")), "key", F.col("_b"), F.col("_n"))
 
     def near(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _column(group, "node").to_numpy(), hamming_forest(_matrix(_column(group, "sig")), distance)
+        return column(group, "node").to_numpy(), hamming_forest(_matrix(column(group, "sig")), distance)
 
-    return components(cells.select("key", "_i", "_j", "node", "sig").mapInArrow(_edges(near, 3), "a long, b long"))
+    return components(dealt.select("key", "_i", "_j", "node", "sig").mapInArrow(forest_edges(near, 3), "a long, b long"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, family: DataFrame, percent: int, family_block: int) -> DataFrame:
@@ -339,44 +254,64 @@ def _links(docs: DataFrame, classes: DataFrame, family: DataFrame, percent: int,
     )
     # A doc_id may stand for several texts; the class's own has its number of shingles.
     rows = rows.filter(F.octet_length("shingles") == F.col("n") * 8)
-    cells = _cells(rows, "label", F.col("_b"), F.col("_n")).select("label", "_i", "_j", "node", "shingles")
+    dealt = cells(rows, "label", F.col("_b"), F.col("_n")).select("label", "_i", "_j", "node", "shingles")
 
     def linked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        raw = _column(group, "shingles")
+        raw = column(group, "shingles")
         data, places = flat(raw)
         every = data.copy().view(np.uint64)
         cut = places // 8
-        return _column(group, "node").to_numpy(), link_forest([every[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], percent)
+        return column(group, "node").to_numpy(), link_forest([every[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], percent)
 
-    return components(cells.mapInArrow(_edges(linked, 3), "a long, b long"))
+    return components(dealt.mapInArrow(forest_edges(linked, 3), "a long, b long"))
 
 
-def near_groups(
-    docs: DataFrame,
-    percent: int = PERCENT,
-    bucket_block: int = BUCKET_BLOCK,
-    family_block: int = FAMILY_BLOCK,
-) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, percent: int, bucket_block: int, family_block: int) -> DataFrame:
+    """Per row of `docs`: doc_id, t1, t2, n, label (null where nothing can be linked), component_id."""
     sketches = stored(_sets_of(docs), "sketches")
-    full = sketches.filter("n > 0 AND doc_id IS NOT NULL")
+    linkable = "n > 0 AND doc_id IS NOT NULL"
     # A class is known by 128 bits and its size; h1 names it from here on.
     classes = stored(
-        full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")).withColumnRenamed("h1", "node"),
+        sketches.filter(linkable)
+        .groupBy("h1", "h2", "n")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
+        .withColumnRenamed("h1", "node"),
         "classes",
     )
     family = _families(classes, radius(percent), bucket_block)
     links = _links(docs, classes, family, percent, family_block)
-    labelled = classes.join(links, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    first = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(first, "label").select(F.col("node").alias("h1"), "component_id")
-    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h1"))
-    rows = sketches.select("doc_id", "n", linked.alias("h1")).join(named, "h1", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    labelled = stored(classes.join(links, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), "labelled")
+    first = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
+    named = stored(labelled.join(first, "label").select(F.col("node").alias("h1"), "label", "component_id"), "named")
+    columns = ["doc_id", "t1", "t2", "n", "label", "component_id"]
+    alone = sketches.filter(f"NOT ({linkable})").withColumns({"label": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return sketches.filter(linkable).join(named, "h1").select(columns).union(alone.select(columns))
+
+
+def near_groups(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    bucket_block: int = BUCKET_BLOCK,
+    family_block: int = FAMILY_BLOCK,
+) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
+    rows = _grouped(docs, percent, bucket_block, family_block)
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest doc_id."""
-    gone = near_groups(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` with one row of each component: the one with the smallest doc_id; where
+    several rows have that doc_id, the one whose text has the smallest hash, and of rows
+    of the same doc_id and text the smallest by its columns. Rows that can't be linked
+    (no words, null doc_id) all stay. A doc_id of several texts is decided text by text."""
+    rows = stored(_grouped(docs, percent, BUCKET_BLOCK, FAMILY_BLOCK), "grouped")
+    text = F.struct("t1", "t2")
+    named = rows.filter("label IS NOT NULL AND doc_id = component_id")
+    winner = named.groupBy("label").agg(F.min(text).alias("winner"), F.count(F.lit(1)).alias("rows"))
+    contested = stored(winner.filter("rows > 1"), "contested")
+    beaten = rows.filter("doc_id = component_id").join(contested, "label").withColumn("same", text == F.col("winner"))
+    key = ["doc_id", "t1", "t2"]
+    gone = rows.filter("doc_id <> component_id").select(key).union(beaten.filter("NOT same").select(key)).distinct()
+    repeated = beaten.filter("same").groupBy(key).count().filter("count > 1").select(key)
+    return keep_rows(docs, gone, repeated)

@@ -46,3 +46,13 @@ def test_a_digest_of_two_texts_ends_the_job(spark):
     )
     with pytest.raises(Exception, match="two texts"):
         merge_runs(runs, 2).collect()
+
+
+def test_repeated_ids_lose_no_text_and_keep_no_copy(spark, table):
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in drop_exact_copies(table(rows)).collect()), key=repr)
+    assert kept([(1, "aaa"), (5, "unique text"), (5, "aaa")]) == [(1, "aaa"), (5, "unique text")]
+    assert kept([(1, "aaa"), (1, "aaa"), (1, "aaa"), (2, "b")]) == [(1, "aaa"), (2, "b")]
+    assert kept([(1, "a  b"), (1, "a b"), (3, "a\tb")]) == [(1, "a  b")]
+    assert kept([(None, "aaa"), (7, "aaa"), (8, "aaa"), (8, "bbb")]) == [(7, "aaa"), (8, "bbb"), (None, "aaa")]
+    rows = [(1, "aaa", lang) for lang in ("fr", "de", "en", "de")]
+    assert [r.lang for r in drop_exact_copies(table(rows)).collect()] == ["de"]

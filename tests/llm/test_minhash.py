@@ -100,3 +100,13 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(149, 200), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in [*range(100, 150), 200]}}
+
+
+def test_repeated_ids_lose_no_text_and_keep_no_copy(table):
+    base = " ".join(f"w{i}" for i in range(80))
+    near, other = base.replace("w40 ", "x "), " ".join(f"v{i}" for i in range(80))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in drop_near_copies(table(rows)).collect()), key=repr)
+    assert kept([(1, base), (5, other), (5, near)]) == sorted([(1, base), (5, other)])
+    assert kept([(1, base), (1, base), (2, near), (3, ""), (3, ""), (4, None)]) == [(1, base), (3, ""), (3, ""), (4, None)]
+    assert len(kept([(1, base), (1, near), (1, other)])) == 2
+    assert kept([(None, base), (6, base), (7, near)]) == sorted([(6, base), (None, base)], key=repr)
