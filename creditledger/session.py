@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +36,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="creditledger-")
     context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below `spark.checkpoint.dir`,
+    or a temporary one where that is unset on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="creditledger-")
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a written table in the shared folder: its lineage ends there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,10 +15,17 @@ from pyspark.sql import functions as F
 from creditledger.functions.ignore import IgnoreRule, parse_ignore_rules
 from creditledger.functions.lines import split_lines
 from creditledger.functions.paths import is_skipped_name
+from creditledger.session import shared_folder
 from creditledger.sources.schemas import AUTHOR_CONFIG
 
 # File contents handed to Spark at a time.
 BATCH_BYTES = 4 * 1024 * 1024
+# Folders a task lists before it hands on the rest, tasks of one round, rows at a time.
+LIST_BUDGET = 64
+MOST_LIST_TASKS = 10_000
+LISTED_ROWS = 10_000
+# Files whose names Spark's readers pass over are read in pieces of so many bytes.
+PIECE_BYTES = 32 * 1024 * 1024
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -34,45 +42,75 @@ def _small_file(path: str) -> str | None:
         return stream.read().decode("utf-8", errors="replace")
 
 
-def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True) -> DataFrame:
-    """root, path (relative to it), size of every file below the given folders.
+def _listed(store: pafs.FileSystem, folder: str) -> tuple[list[pafs.FileInfo], list[pafs.FileInfo]]:
+    """Files and directories of one folder. Links to directories are not entered, as
+    they may lead back up."""
+    local = isinstance(store, pafs.LocalFileSystem)
+    found = store.get_file_info(pafs.FileSelector(folder))
+    directories = [f for f in found if f.type == pafs.FileType.Directory and not (local and os.path.islink(f.path))]
+    return [f for f in found if f.type == pafs.FileType.File], directories
 
-    Spark's own readers skip names that start with '.' or '_', among them
-    `__init__.py` and `.github/`; this walk does not. One task per root lists
-    names only, directory by directory; directories that no inventory takes are
-    not entered.
-    """
 
-    listed = pa.schema([("root", pa.string()), ("path", pa.string()), ("size", pa.int64())])
+def _level(prune: bool, budget: int):
+    """Lists the folders of a frontier, rows (root, path); a task that has listed `budget`
+    folders hands on those it has found but not entered, as rows with `open`."""
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(root: str, paths: list[str], sizes: list[int | None]) -> pa.RecordBatch:
+        n = len(paths)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([root] * n, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array([s is None for s in sizes], pa.bool_())],
+            ["root", "path", "size", "open"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent = 0
         for batch in batches:
-            for root in batch["root"].to_pylist():
+            for root, start in zip(batch["root"].to_pylist(), batch["path"].to_pylist(), strict=True):
                 store, base = pafs.FileSystem.from_uri(root)
                 base = base.rstrip("/")
-                if store.get_file_info(base).type != pafs.FileType.Directory:
+                if start == "" and store.get_file_info(base or "/").type != pafs.FileType.Directory:
                     continue
-                waiting = [base]
-                while waiting:
-                    found = store.get_file_info(pafs.FileSelector(waiting.pop()))
-                    waiting += [
-                        f.path
-                        for f in found
-                        if f.type == pafs.FileType.Directory
-                        and not (prune and is_skipped_name(f.base_name))
-                    ]
-                    files = [f for f in found if f.type == pafs.FileType.File]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "root": [root] * len(files),
-                            "path": [f.path[len(base) + 1 :] for f in files],
-                            "size": [f.size for f in files],
-                        },
-                        listed,
-                    )
-
-    named = spark.createDataFrame([(root,) for root in roots], "root string")
-    return named.repartition(len(roots)).mapInArrow(walk, "root string, path string, size long")
+                waiting = [start]
+                while waiting and spent < budget:
+                    at = waiting.pop()
+                    files, directories = _listed(store, f"{base}/{at}".rstrip("/") or "/")
+                    spent += 1
+                    below = f"{at}/" if at else ""
+                    waiting += [below + d.base_name for d in directories if not (prune and is_skipped_name(d.base_name))]
+                    for low in range(0, len(files), LISTED_ROWS):
+                        some = files[low : low + LISTED_ROWS]
+                        yield rows(root, [below + f.base_name for f in some], [f.size for f in some])
+                if waiting:
+                    yield rows(root, waiting, [None] * len(waiting))
+
+    return run
+
+
+def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True, budget: int = LIST_BUDGET) -> DataFrame:
+    """root, path (relative to it), size of every file below the given folders.
+
+    Spark's own readers skip names that start with '.' or '_', among them
+    `__init__.py` and `.github/`; this walk does not. It goes by frontiers: the folders
+    known so far are dealt out, each task lists up to `budget` of them (and what it
+    finds in them), and the folders that are left are the next frontier. So one root is
+    walked by as many tasks as it has folders for, and a deep but narrow tree takes few
+    rounds. Every round is a table in the shared folder; the driver gets two
+    numbers a round. Directories that no inventory takes are not entered when `prune`.
+    """
+    folder = shared_folder(spark)
+    known = "root string, path string, size long, open boolean"
+    frontier = spark.createDataFrame([(root, "") for root in roots], "root string, path string")
+    waiting, depth = len(roots), 0
+    while waiting:
+        tasks = max(1, min(waiting, MOST_LIST_TASKS))
+        # Dealt at random: neighbours in the tree tend to be alike in size.
+        dealt = frontier.repartition(tasks, F.xxhash64("root", "path"))
+        dealt.mapInArrow(_level(prune, budget), known).write.parquet(f"{folder}/level={depth}")
+        frontier = spark.read.schema(known).parquet(f"{folder}/level={depth}").filter("open").select("root", "path")
+        waiting, depth = frontier.count(), depth + 1
+    if not depth:
+        return spark.createDataFrame([], "root string, path string, size long")
+    return spark.read.schema(known).parquet(folder).filter("NOT open").select("root", "path", "size")
 
 
 def with_content(listing: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -111,12 +149,74 @@ def _passed_over(path: Column) -> Column:
     return path.rlike(part) | path.endswith("._COPYING_")
 
 
-def read_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+def _piece_records(separator: bytes, read_bytes: int = 1 << 20):
+    """Records of the pieces (file, split, last) of files: those that begin after `split`
+    and up to `last`, and the first record of a file. They may end beyond their piece."""
+
+    def records(stream, size: int, first: int, last: int) -> Iterator[bytes]:
+        width = len(separator)
+        place = max(0, first - width + 1)
+        stream.seek(place)
+        buffer = stream.read(last - place)
+        # `begin` is where a record begins in the buffer, None ahead of the first one.
+        begin, looked = (0, 0) if first == 0 else (None, 0)
+        while True:
+            at = buffer.find(separator, looked)
+            if at < 0:
+                more = stream.read(read_bytes)
+                if more:
+                    looked = max(looked, len(buffer) - width + 1)
+                    keep = looked if begin is None else min(begin, looked)
+                    buffer, place, looked = buffer[keep:] + more, place + keep, looked - keep
+                    begin = None if begin is None else begin - keep
+                    continue
+                if begin is not None and place + begin < size:
+                    yield buffer[begin:]
+                return
+            if begin is not None:
+                yield buffer[begin:at]
+            begin = looked = at + width
+            if place + begin > last or place + begin >= size:
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for file, size, first, last in zip(*(batch[c].to_pylist() for c in ("file", "size", "split", "last")), strict=True):
+                store, inner = pafs.FileSystem.from_uri(file)
+                with store.open_input_file(inner) as stream:
+                    for n, record in enumerate(records(stream, size, first, last)):
+                        rows.append((file, first, n, record.decode("utf-8", errors="replace")))
+                        held += len(record)
+                        if held >= BATCH_BYTES or len(rows) >= LISTED_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["file", "split", "seq", "value"])
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["file", "split", "seq", "value"])
+
+    return run
+
+
+def read_pieces(listing: DataFrame, separator: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """file, split, seq, value: the records of listed files (root, path, size), read in
+    pieces of `piece_bytes`, each of which can be a task of its own."""
+    file = F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"), "path")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(piece_bytes).cast("long"))
+    pieces = listing.select(file.alias("file"), "size", F.explode(starts).alias("split")).select(
+        "*", F.least(F.col("split") + piece_bytes, F.col("size")).alias("last")
+    )
+    spread = 4 * listing.sparkSession.sparkContext.defaultParallelism
+    return pieces.repartition(spread, "file", "split").mapInArrow(
+        _piece_records(separator.encode()), "file string, split long, seq long, value string"
+    )
+
+
+def read_records(spark: SparkSession, path: str, separator: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """file, split, seq, value: the records of all files below `path`, at any depth
     and of any name. (split, seq) is the order within a file.
 
-    Files that Spark's reader takes are split; those whose names it takes for hidden
-    (`__init__.py`, `.github/ci.yml`) are found by an own walk and read whole.
+    Files that Spark's reader takes are split by it; those whose names it takes for
+    hidden (`__init__.py`, `.github/ci.yml`) are found by an own walk and read in pieces.
     """
     visible = spark.read.text(path, lineSep=separator, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"),
@@ -124,17 +224,8 @@ def read_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
-    hidden = with_content(list_trees(spark, [path], prune=False).filter(_passed_over(F.col("path"))))
-    # As the reader does: no record after a separator that ends the file.
-    pieces = F.split(F.col("content"), separator, -1)
-    pieces = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-    return visible.unionByName(
-        hidden.select(
-            F.concat("root", F.lit("/"), "path").alias("file"),
-            F.lit(0).cast("long").alias("split"),
-            F.posexplode(pieces).alias("seq", "value"),
-        ).withColumn("seq", F.col("seq").cast("long"))
-    )
+    hidden = list_trees(spark, [path], prune=False).filter(_passed_over(F.col("path")))
+    return visible.unionByName(read_pieces(hidden, separator, piece_bytes))
 
 
 def explode_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

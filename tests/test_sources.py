@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -8,8 +9,8 @@ from creditledger.functions.paths import unquoted_path
 from creditledger.operators.facts import window_facts
 from creditledger.sources.blame_dump import read_blame_dump
 from creditledger.operators.files import inventory
-from creditledger.sources.files import explode_lines, list_trees, read_author_config, read_ignore_rules, with_content
-from creditledger.sources.patch_log import parse_patch_records, read_patch_log
+from creditledger.sources.files import explode_lines, list_trees, read_author_config, read_ignore_rules, read_records, with_content
+from creditledger.sources.patch_log import parse_patch_lines, parse_patch_records, read_patch_log
 
 
 def block(rng, n, author, content, boundary=False):
@@ -128,7 +129,7 @@ HUNKS = [
 ]
 
 
-@pytest.mark.parametrize("split_bytes", [64, 128 * 1024 * 1024])
+@pytest.mark.parametrize("split_bytes", [1, 7, 64, 501, 128 * 1024 * 1024])
 def test_patch_log(spark, tmp_path, split_bytes):
     (tmp_path / "log").write_text(LOG)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -238,3 +239,68 @@ def test_file_tree_and_lines(spark, tmp_path):
     assert got == {name: texts[name] for name in kept}
     lines = sorted(tuple(r) for r in explode_lines(files, ["path"]).collect() if r.path in ("src/a b.py", "top.md"))
     assert lines == [("src/a b.py", 1, "x\r"), ("src/a b.py", 2, "y"), ("src/a b.py", 3, ""), ("top.md", 1, "one")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_commit_over_many_splits(spark, seed):
+    """Every cut of a log into splits gives the hunks of a sequential reading."""
+    rng = random.Random(seed)
+    log, want, commit, path, stopped = [], [], None, None, False
+    for _ in range(900):
+        line = rng.choice(
+            ["@@COMMIT@@:h%d\tAnn %d" % (rng.randrange(99), rng.randrange(9))] * (rng.random() < 0.1)
+            + ["diff --git a/x b/x", "--- a/f%d.py" % rng.randrange(99), "--- /dev/null", "@@ -%d,%d +1 @@" % (rng.randrange(1, 99), rng.randrange(3)),
+               "@@ -7 +7 @@ def", "-x", "+y", "--- a/\"q.py", "index 1..2"])
+        log.append(line)
+        if line.startswith(("@@COMMIT@@:", "diff")):
+            commit, path, stopped = (line[11:] if line[0] == "@" else commit), None, False
+        elif line.startswith("--- ") and path is None and not stopped:
+            path = line[4:].removeprefix("a/")
+        elif line.startswith("@@ -"):
+            stopped = True
+            start, _, cnt = line[4:].split(" ")[0].partition(",")
+            if path and path.endswith(".py") and int(cnt or 1):
+                hash_, _, author = (commit or "").partition("\t")
+                want.append((hash_ if commit else None, author if commit else None, path, int(start), int(cnt or 1)))
+    assert len(want) > 20
+    for size in (1, 2, 5, 17, 1000):
+        rows = [("log", n - n % size, n, line) for n, line in enumerate(log)]
+        lines = spark.createDataFrame(rows, "file string, split long, seq long, value string").repartition(5)
+        got = [tuple(r) for r in parse_patch_lines(lines).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_trees_deep_wide_and_linked(spark, tmp_path):
+    deep = tmp_path / "/".join(["d"] * 50)
+    deep.mkdir(parents=True)
+    (deep / "end.py").write_text("x")
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    for n in range(100_000):
+        os.mknod(wide / f"{n}.txt")
+    for n in range(300):
+        (tmp_path / "many" / f"{n % 20}" / f"{n}").mkdir(parents=True)
+        (tmp_path / "many" / f"{n % 20}" / f"{n}" / "_f.go").write_text("y" * n)
+    (tmp_path / "many" / "up").symlink_to(tmp_path)
+    listing = list_trees(spark, [str(tmp_path), str(tmp_path / "none")], budget=8)
+    assert listing.count() == listing.distinct().count() == 100_301
+    assert {r.path for r in listing.filter("path LIKE 'd/%'").collect()} == {"d/" * 50 + "end.py"}
+    assert listing.filter("path LIKE 'many/%'").agg(F.sum("size")).first()[0] == sum(range(300))
+    # One root is walked by many tasks: after the first rounds, files lie in many parts.
+    assert listing.filter("path LIKE 'many/%'").select(F.input_file_name()).distinct().count() > 8
+    assert list_trees(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 3, 10, 1000])
+def test_hidden_files_in_pieces(spark, tmp_path, piece):
+    rng = random.Random(piece)
+    texts = {f"_{n}": "".join(rng.choice("ab\n\t\u00e9") for _ in range(rng.randrange(60))) for n in range(12)} | {"_end": "a\n\tb\n\t", "_none": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    for separator in ("\n", "\n\t"):
+        got = {}
+        for r in read_records(spark, str(tmp_path), separator, piece).orderBy("file", "split", "seq").collect():
+            got.setdefault(r.file.rsplit("/", 1)[-1], []).append(r.value)
+        want = {name: text.split(separator) for name, text in texts.items()}
+        want = {name: parts[:-1] if parts[-1] == "" else parts for name, parts in want.items()}
+        assert got == {name: parts for name, parts in want.items() if parts}
