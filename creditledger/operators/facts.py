@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from creditledger.functions.paths import file_language, file_type
 from creditledger.operators.hunks import hunk_lines
 from creditledger.operators.identity import resolve_identity
+from creditledger.operators.joins import null_safe_join
 from creditledger.operators.line_state import RUN_LINES, count_lines, countable
 
 
@@ -90,7 +91,7 @@ def window_facts(
     work to files that changed at all.
     """
     if touched is not None:
-        lines = lines.join(touched.select(*keys), list(keys), "left_semi")
+        lines = null_safe_join(lines, touched.select(*keys), keys, "left_semi")
     recent = F.lit(True) if after is None else F.col(touch) > after
     return (
         resolve_identity(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, is_ignored
 from creditledger.functions.paths import in_skipped_directory, is_code_file
+from creditledger.operators.joins import null_safe_join
 
 
 def inventory(
@@ -26,7 +27,7 @@ def inventory(
 
 
 def tracked_only(files: DataFrame, tracked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return files.join(tracked.select(*keys), list(keys), "left_semi")
+    return null_safe_join(files, tracked.select(*keys), keys, "left_semi")
 
 
 def at_revision(table: DataFrame, revision, column: str = "commit_id") -> DataFrame:
@@ -47,8 +48,12 @@ def touched_paths(
         return manifest_to.select(*keys)
     old = manifest_from.select(*keys, F.col(content_id).alias("_old"))
     new = manifest_to.select(*keys, F.col(content_id).alias("_new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & old[k].eqNullSafe(new[k])
+    # A side that is missing has no key either, as far as a key is not NULL itself.
     return (
-        old.join(new, list(keys), "full_outer")
+        old.join(new, same, "full_outer")
         .filter(~F.col("_old").eqNullSafe(F.col("_new")))
-        .select(*keys)
+        .select(*(F.coalesce(old[k], new[k]).alias(k) for k in keys))
     )

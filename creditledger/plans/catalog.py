@@ -21,6 +21,7 @@ from creditledger.operators.facts import (
 )
 from creditledger.operators.hunks import hunk_lines, hunks_without_parent
 from creditledger.operators.identity import resolve_identity, unique_aliases
+from creditledger.operators.ignore_rules import compile_rules, rule_lines, without_ignored
 from creditledger.operators.line_state import classify_lines, count_lines, countable
 from creditledger.operators.rollup import (
     contributions,
@@ -32,12 +33,20 @@ from creditledger.operators.rollup import (
     share_in_group,
     table_rows,
 )
+from creditledger.operators.windows import (
+    Span,
+    line_facts_by_window,
+    manifests_at,
+    net_by_window,
+    touch_entries_by_window,
+    touched_between,
+)
 from creditledger.plans import driver_views as views
 from creditledger.plans.reports import range_entries, snapshot_entries, touch_entries, touch_losses
 from creditledger.sinks.report_files import json_document
 from creditledger.sources.blame_dump import parse_dump_records
 from creditledger.sources.files import alias_table, explode_lines
-from creditledger.sources.patch_log import parse_patch_records
+from creditledger.sources.patch_log import parse_patch_lines, parse_patch_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -404,6 +413,50 @@ def patch_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_patch_records(views.patch_records(spark, sf_dir))
 
 
+def patch_log_lines_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_patch_lines(views.patch_lines(spark, sf_dir))
+
+
+# --- many rules, windows, revisions -------------------------------------------
+
+
+def _without_ignored(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    rules = compile_rules(rule_lines(views.ignore_files(spark, sf_dir, nested=strict), strict), strict)
+    return without_ignored(views.repository_paths(spark, sf_dir), rules, strict)
+
+
+def ignore_rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_ignored(spark, sf_dir, strict=False)
+
+
+def ignore_rules_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_ignored(spark, sf_dir, strict=True)
+
+
+def net_by_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = [Span(name, views.day(first), views.day(last)) for name, first, last in views.WINDOWS]
+    return net_by_window(
+        touch_entries_by_window(
+            views.touches(spark, sf_dir), KEY, ORDER, "actor", "type", spans, views.as_time, _slices()
+        )
+    )
+
+
+def line_facts_by_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = [Span(name, after) for name, after in views.LINE_WINDOWS]
+    return line_facts_by_window(_code_at_end(spark, sf_dir), views.aliases(spark), spans, FILE)
+
+
+def tree_at_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revisions = [(n, views.day(n)) for n in views.REVISION_DAYS]
+    return manifests_at(views.content_changes(spark, sf_dir), revisions, KEY, ORDER, lit=views.as_time)
+
+
+def touched_between_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, last = views.day(views.REVISION_DAYS[0]), views.day(views.REVISION_DAYS[-2])
+    return touched_between(views.content_changes(spark, sf_dir), first, last, KEY, ORDER, lit=views.as_time)
+
+
 QUERIES: dict[str, Query] = {
     "net_report": net_report,
     "net_by_pair": net_by_pair,
@@ -462,4 +515,11 @@ QUERIES: dict[str, Query] = {
     "nested_report": nested_report,
     "blame_dump_parse": blame_dump_parse,
     "patch_log_parse": patch_log_parse,
+    "patch_log_lines_parse": patch_log_lines_parse,
+    "ignore_rules_table": ignore_rules_table,
+    "ignore_rules_nested": ignore_rules_nested,
+    "net_by_windows": net_by_windows,
+    "line_facts_by_windows": line_facts_by_windows,
+    "tree_at_revisions": tree_at_revisions,
+    "touched_between_revisions": touched_between_revisions,
 }

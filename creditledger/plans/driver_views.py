@@ -32,6 +32,23 @@ IGNORE_RULES = (
     IgnoreRule(r"^docs/.*\z"),
     IgnoreRule(r"^test_app\.py\z", negate=True),
 )
+#: Globs of root ignore files, and (directory, glob) of nested ones.
+GLOBS = (
+    "*.py", "!main_test.go", "src/*", "docs/", "!test_app.py", "**/README.md", "F*.java",
+    "scripts/deploy.sh", "b?ild/out/*", "!conftest.py", "app.*", "cmd/server/*.go", "!*.spec.ts",
+)
+NESTED_RULES = (
+    ("", "*.py"), ("", "!test_app.py"), ("src", "main/"), ("src", "/app/*"), ("", "docs/**"),
+    ("docs", "!README.md"), ("", "**/templates/"), ("playbooks", "!templates"), ("", "[Dd]ockerfile"),
+    ("", "main?test.go"), ("tests", "*"), ("tests", "!conftest.py"), ("", "build/"),
+    ("build", "!pom.xml"), ("roles/a", "tests/logo.svg"),
+)
+REPOSITORIES = 25
+LOG_DOCUMENTS, COMMIT_DOCUMENTS, SPLIT_LINES = 200, 40, 5
+#: Fifty overlapping windows over the events: (days after the first of January, length).
+WINDOWS = tuple((f"w{n:02}", n % 20, n % 20 + 1 + n // 3) for n in range(50))
+LINE_WINDOWS = (("all", None), *((f"after {n}", n) for n in range(5, 80, 15)))
+REVISION_DAYS = (3, 8, 9, 15, 40)
 ALIAS_ROWS = (
     ("name", "alice", "A. Anno", 0),
     ("name", "alice anno", "A. Anno", 0),
@@ -228,3 +245,78 @@ def patch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\ndiff --git a/new.py b/new.py\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+n\n"),
     )
     return read(spark, sf_dir, "documents").select(value.alias("value"))
+
+
+def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches of `patch_records`, 200 documents a log and 40 of them a commit, line by
+    line; the splits of a log are five lines long, so that commits and files span many."""
+    doc_id = F.col("doc_id")
+    path = path_of(doc_id)
+    first = F.concat(F.lit("@@COMMIT@@:"), F.lpad(doc_id.cast("string"), 40, "0"), F.lit("\tAuthor "), (doc_id % 7).cast("string"))
+    head = F.array(
+        F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path),
+        F.lit("index 1..2 100644"),
+        F.concat(F.lit("--- a/"), path),
+        F.concat(F.lit("+++ b/"), path),
+        F.concat(F.lit("@@ -"), (1 + doc_id % 5).cast("string"), F.lit(","), (2 + doc_id % 4).cast("string"), F.lit(" +1,0 @@ context")),
+        F.lit("--- old text"),
+    )
+    body = F.transform(F.split("text", "\n", -1), lambda line: F.concat(F.lit("-"), line))
+    tail = F.array(*map(F.lit, (
+        "@@ -40 +38 @@", "-x", "+y", "@@ -50,0 +49,2 @@", "+z",
+        "diff --git a/new.py b/new.py", "--- /dev/null", "+++ b/new.py", "@@ -0,0 +1 @@", "+n",
+    )))
+    commit = F.when(doc_id % COMMIT_DOCUMENTS == 0, F.array(first, F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return (
+        read(spark, sf_dir, "documents")
+        .select("doc_id", F.posexplode(F.concat(commit, head, body, tail)).alias("seq", "value"))
+        .select(
+            F.floor(doc_id / LOG_DOCUMENTS).cast("string").alias("file"),
+            (doc_id * (1 << 32) + F.floor(F.col("seq") / SPLIT_LINES)).alias("split"),
+            F.col("seq").cast("long").alias("seq"),
+            "value",
+        )
+    )
+
+
+def repository_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths(spark, sf_dir).select((F.col("doc_id") % REPOSITORIES).cast("int").alias("repo"), "path", "doc_id")
+
+
+def ignore_files(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame:
+    """Every customer has put three lines into an ignore file of the repository of
+    their nation."""
+    key = F.col("c_custkey")
+    number = key * 7 + F.col("c_nationkey")
+    if nested:
+        directory = _pick(tuple(d for d, _ in NESTED_RULES), number % len(NESTED_RULES) + 1)
+        glob = _pick(tuple(g for _, g in NESTED_RULES), number % len(NESTED_RULES) + 1)
+    else:
+        directory, glob = F.lit(""), _pick(GLOBS, number % len(GLOBS) + 1)
+    blank = "" if nested else "  "
+    return read(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("repo"),
+        directory.alias("dir"),
+        key.alias("file"),
+        F.concat(F.lit("# "), "c_name", F.lit(f"\n\n{blank}"), glob, F.lit("  \n")).alias("text"),
+    )
+
+
+def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as a log of changes of what it touches; every seventh user removes."""
+    number = F.get_json_object("props", "$.k")
+    return read(spark, sf_dir, "events").select(
+        F.concat("event_type", F.lit(":"), number).alias("k"),
+        "ts",
+        "event_id",
+        F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 50).alias("content_id"),
+    )
+
+
+def day(n: int) -> str:
+    """So many days after the first of January, as text that sorts."""
+    return f"2024-{1 + n // 31:02}-{1 + n % 31:02}"
+
+
+def as_time(value: str) -> Column:
+    return F.lit(value).cast("timestamp_ntz")

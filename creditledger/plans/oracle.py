@@ -354,6 +354,82 @@ TOUCHED = """SELECT item_id FROM m_from f FULL OUTER JOIN m_to t USING (item_id)
 
 INVENTORY = f"SELECT doc_id FROM v_paths WHERE {IS_CODE} AND NOT {IS_SKIPPED}"
 
+# --- many rules, windows, revisions -------------------------------------------
+
+REPOSITORY_PATHS = f"SELECT doc_id, path, doc_id % {views.REPOSITORIES} AS repo FROM v_paths"
+_GLOB_TO_REGEX = r"""'^' || replace(replace(replace(replace(regexp_replace(g, '([.+^$(){}|\[\]])', '\\\1', 'g'),
+    '**', chr(1)), '*', '[^/]*'), '?', '.'), chr(1), '.[^/]*') || '$'"""
+PLAIN_RULES = {
+    **FILE_VIEWS,
+    "r_paths": REPOSITORY_PATHS,
+    "r_lines": f"SELECT c_nationkey AS repo, c_custkey AS ord,"
+    f" list_extract([{_quoted(views.GLOBS)}], CAST((c_custkey * 7 + c_nationkey) % {len(views.GLOBS)} + 1 AS INT)) AS said FROM customer",
+    "r_rules": f"SELECT repo, ord, negate, {_GLOB_TO_REGEX} AS regex FROM"
+    " (SELECT repo, ord, said LIKE '!%' AS negate, ltrim(said, '!') AS g FROM r_lines WHERE said NOT LIKE '%/')",
+    "r_gone": f"""SELECT doc_id FROM r_paths JOIN r_rules USING (repo)
+        WHERE regexp_matches(path, regex) OR regexp_matches({BASE}, regex)
+        GROUP BY doc_id HAVING NOT arg_max(negate, ord)""",
+}
+#: The nested rules as expressions for whole paths, in the order of the view's rules:
+#: expression, whether it is for directories only, whether it takes back.
+NESTED_REGEX = (
+    (r"^(.*/)?[^/]*\.py$", False, False), (r"^(.*/)?test_app\.py$", False, True), (r"^src/(.*/)?main$", True, False),
+    (r"^src/app/[^/]*$", False, False), (r"^docs/.+$", False, False), (r"^docs/(.*/)?README\.md$", False, True),
+    (r"^(.*/)?templates$", True, False), (r"^playbooks/(.*/)?templates$", False, True), (r"^(.*/)?[Dd]ockerfile$", False, False),
+    (r"^(.*/)?main[^/]test\.go$", False, False), (r"^tests/(.*/)?[^/]*$", False, False), (r"^tests/(.*/)?conftest\.py$", False, True),
+    (r"^(.*/)?build$", True, False), (r"^build/(.*/)?pom\.xml$", False, True), (r"^roles/a/tests/logo\.svg$", False, False),
+)
+_NESTED = ", ".join(
+    f"({n}, {0 if not d else d.count('/') + 1}, '{e}', {only}, {back})"
+    for n, ((d, _), (e, only, back)) in enumerate(zip(views.NESTED_RULES, NESTED_REGEX))
+)
+NESTED_RULES = {
+    **FILE_VIEWS,
+    "r_paths": REPOSITORY_PATHS,
+    "r_kinds": f"SELECT * FROM (VALUES {_NESTED}) v(n, depth, regex, dir_only, negate)",
+    "r_rules": f"SELECT c_nationkey AS repo, c_custkey AS ord, k.* FROM customer"
+    f" JOIN r_kinds k ON k.n = (c_custkey * 7 + c_nationkey) % {len(views.NESTED_RULES)}",
+    "r_steps": """SELECT doc_id, repo, array_to_string(s[1:i], '/') AS step, i < len(s) AS is_dir
+        FROM (SELECT doc_id, repo, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, repo, string_split(path, '/') AS s FROM r_paths))""",
+    "r_gone": """SELECT DISTINCT doc_id FROM (SELECT doc_id, step FROM r_steps JOIN r_rules USING (repo)
+        WHERE (is_dir OR NOT dir_only) AND regexp_matches(step, regex)
+        GROUP BY doc_id, step HAVING NOT arg_max(negate, depth * 1000000000 + ord))""",
+}
+LEFT_PATHS = "SELECT doc_id, path, CAST(repo AS INTEGER) AS repo FROM r_paths WHERE doc_id NOT IN (SELECT doc_id FROM r_gone)"
+
+_SPANS = ", ".join(f"('{w}', TIMESTAMP '{views.day(a)}', TIMESTAMP '{views.day(u)}')" for w, a, u in views.WINDOWS)
+MANY_WINDOWS = {
+    "v_touches": TOUCHES,
+    "spans": f"SELECT * FROM (VALUES {_SPANS}) v(win, a, u)",
+    "w_facts": """SELECT win, type, actor AS author, count(*) AS lines FROM (SELECT win, k, type, actor,
+        row_number() OVER (PARTITION BY win, k ORDER BY ts DESC, event_id DESC) AS rn FROM v_touches JOIN spans ON ts > a AND ts <= u)
+        WHERE rn = 1 GROUP BY ALL""",
+    "w_chain": "SELECT *, lag(actor) OVER (PARTITION BY k ORDER BY ts, event_id) AS prev FROM v_touches",
+    "w_losses": """SELECT win, type, prev AS author, count(*) AS deleted FROM w_chain JOIN spans ON ts > a AND ts <= u
+        WHERE prev IS NOT NULL AND prev <> actor GROUP BY ALL""",
+}
+_LINE_SPANS = ", ".join(f"('{w}', {-1 if a is None else a})" for w, a in views.LINE_WINDOWS)
+LINE_WINDOWS = {
+    **TYPED,
+    "taken": AT_END,
+    **_automaton("taken", "doc_id"),
+    "spans": f"SELECT * FROM (VALUES {_LINE_SPANS}) v(win, a)",
+    "survivors": f"""SELECT win, doc_id, path, type, language, raw_author
+        FROM flagged JOIN (SELECT doc_id, type, language FROM v_types) USING (doc_id) JOIN spans ON touch_seq > a
+        WHERE {COUNTABLE} = 1""",
+    "survivor_names": _resolved("survivors", "raw_author", "author"),
+}
+CHANGES = """SELECT concat(event_type, ':', json_extract_string(props, '$.k')) AS k, ts, event_id,
+    CASE WHEN user_id % 7 <> 0 THEN user_id % 50 END AS content_id FROM events"""
+_REVISIONS = ", ".join(f"({n}, TIMESTAMP '{views.day(n)}')" for n in views.REVISION_DAYS)
+REVISIONS = {
+    "changes": CHANGES,
+    "revisions": f"SELECT * FROM (VALUES {_REVISIONS}) v(revision, r_ts)",
+    "trees": """SELECT revision, k, content_id FROM (SELECT revision, k, content_id,
+        row_number() OVER (PARTITION BY revision, k ORDER BY ts DESC, event_id DESC) AS rn FROM changes JOIN revisions ON ts <= r_ts)
+        WHERE rn = 1 AND content_id IS NOT NULL""",
+}
+
 ORACLES: dict[str, str] = {
     "net_report": _report(
         NET_BASE, f"SELECT section, type, author, lines, share, {PERCENT} AS percent, deleted, net FROM sections"
@@ -527,4 +603,32 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT lpad(CAST(doc_id AS VARCHAR), 40, '0'), 'Author ' || (doc_id % 7), path, 40, 1
         FROM v_types WHERE is_code""",
     ),
+    "patch_log_lines_parse": _with(
+        {
+            **FILE_VIEWS,
+            "v_types": PATH_TYPES,
+            "c": f"SELECT *, doc_id - doc_id % {views.COMMIT_DOCUMENTS} AS first FROM v_types WHERE is_code",
+        },
+        """SELECT lpad(CAST(first AS VARCHAR), 40, '0') AS commit_id, 'Author ' || (first % 7) AS deleting_author, path,
+        1 + doc_id % 5 AS start, 2 + doc_id % 4 AS cnt FROM c
+        UNION ALL SELECT lpad(CAST(first AS VARCHAR), 40, '0'), 'Author ' || (first % 7), path, 40, 1 FROM c""",
+    ),
+    "ignore_rules_table": _with(PLAIN_RULES, LEFT_PATHS),
+    "ignore_rules_nested": _with(NESTED_RULES, LEFT_PATHS),
+    "net_by_windows": _with(
+        MANY_WINDOWS,
+        """SELECT win AS "window", type, author, coalesce(lines, 0)::BIGINT AS lines, coalesce(deleted, 0)::BIGINT AS deleted,
+        (coalesce(lines, 0) - coalesce(deleted, 0))::BIGINT AS net FROM w_facts FULL OUTER JOIN w_losses USING (win, type, author)""",
+    ),
+    "line_facts_by_windows": _with(
+        LINE_WINDOWS,
+        'SELECT win AS "window", doc_id, path, type, count(*) AS lines, author, language FROM survivor_names GROUP BY ALL',
+    ),
+    "tree_at_revisions": _with(REVISIONS, "SELECT revision, k, content_id FROM trees"),
+    "touched_between_revisions": _with(
+        REVISIONS,
+        f"""SELECT k FROM (SELECT k, content_id FROM trees WHERE revision = {views.REVISION_DAYS[0]}) f
+        FULL OUTER JOIN (SELECT k, content_id FROM trees WHERE revision = {views.REVISION_DAYS[-2]}) t USING (k)
+        WHERE f.content_id IS DISTINCT FROM t.content_id""",
+    ),
 }
