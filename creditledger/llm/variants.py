@@ -44,8 +44,9 @@ LETTERS = "[A-Za-zÀ-ÿ]+"
 BITS = 24
 FILTER_BYTES = 16 << 20
 LONGEST = 64
-#: Edits hashed at a time.
+#: Edits hashed at a time, and words whose edits are one task.
 EDITS = 1 << 20
+TASK_WORDS = 1 << 14
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = mix(np.arange(1, 9, dtype=np.uint64)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
@@ -213,7 +214,9 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         sizes = sorted({s + d for s in sizes for d in (0, 1)})
         reached = F.least("size", F.lit(LONGEST)).isin(sizes)
         sent = spark.sparkContext.broadcast(table)
-        positive = spelt.filter(reached).select("word", "letters").mapInArrow(_positives(shards, letters, low, sent), "word string, edit string")
+        tasks = -(-sum(r["count"] for r in counts) // TASK_WORDS)
+        spread = spelt.filter(reached).select("word", "letters").repartition(tasks, "word")
+        positive = spread.mapInArrow(_positives(shards, letters, low, sent), "word string, edit string")
         positive = stored(positive, "positives")
         sent.destroy()
         found = positive if found is None else found.union(positive)
