@@ -46,14 +46,14 @@ def touched_paths(
     full outer join has no hot key."""
     if manifest_from is None:
         return manifest_to.select(*keys)
-    old = manifest_from.select(*keys, F.col(content_id).alias("_old"))
-    new = manifest_to.select(*keys, F.col(content_id).alias("_new"))
+    # Named apart, as both may come from one table.
+    old = manifest_from.select(*(F.col(k).alias(f"_old_{k}") for k in keys), F.col(content_id).alias("_old"))
+    new = manifest_to.select(*(F.col(k).alias(f"_new_{k}") for k in keys), F.col(content_id).alias("_new"))
     same = F.lit(True)
     for k in keys:
-        same = same & old[k].eqNullSafe(new[k])
-    # A side that is missing has no key either, as far as a key is not NULL itself.
+        same = same & F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}"))
     return (
         old.join(new, same, "full_outer")
         .filter(~F.col("_old").eqNullSafe(F.col("_new")))
-        .select(*(F.coalesce(old[k], new[k]).alias(k) for k in keys))
+        .select(*(F.coalesce(f"_old_{k}", f"_new_{k}").alias(k) for k in keys))
     )
