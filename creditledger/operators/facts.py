@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditledger.functions.paths import file_language, file_type
+from creditledger.operators.dropped import Dropped
 from creditledger.operators.hunks import hunk_lines
 from creditledger.operators.identity import resolve_identity
 from creditledger.operators.joins import null_safe_join
@@ -38,13 +39,15 @@ def snapshot_facts(
     author: str = "raw_author",
     resolve_before_argmax: bool = False,
     run_lines: int = RUN_LINES,
+    dropped: Dropped | None = None,
 ) -> DataFrame:
     """keys, type, lines, author, language: each file's countable lines, credited
     to the author of most of its lines.
 
     The histogram and the count come from the same pass over the lines, and a
     path is classified once per file, after counting. Files without countable
-    lines or with an unknown owner are left out.
+    lines or with an unknown owner are left out; `dropped` counts them as no_lines and
+    unknown_owner.
     """
     counted = count_lines(lines, keys, by=[author], run_lines=run_lines)
     if resolve_before_argmax:
@@ -62,8 +65,11 @@ def snapshot_facts(
         )
         .withColumn("type", file_type(F.col(path)))
         .withColumn("lines", countable(F.col("type")))
-        .filter((F.col("lines") > 0) & (F.col("author") != "unknown"))
     )
+    empty, unknown = F.col("lines") <= 0, F.col("author") == "unknown"
+    if dropped is not None:
+        owned = dropped.watch(owned, no_lines=empty, unknown_owner=~empty & unknown)
+    owned = owned.filter(~empty & ~unknown)
     if not resolve_before_argmax:
         owned = resolve_identity(owned, "author", aliases)
     return owned.select(
@@ -81,30 +87,38 @@ def window_facts(
     touch: str = "touch_seq",
     touched: DataFrame | None = None,
     run_lines: int = RUN_LINES,
+    boundary: str | None = None,
+    dropped: Dropped | None = None,
 ) -> DataFrame:
     """keys, type, lines, author, language: surviving countable lines by the
     author of their last touch, where that touch is later than `after`.
 
     `lines` is the text at the end of the window. Older lines cannot be dropped
     before counting, because they open and close comments, so "in the window"
-    is one of the grouping columns and selects afterwards. `touched` limits the
-    work to files that changed at all.
+    is one of the grouping columns and selects afterwards. Where lines carry no
+    position but a flag `boundary`, true for those last touched at or before the
+    window's beginning, it takes the place of `touch` and `after`. `touched` limits the
+    work to files that changed at all. `dropped` counts the rows of counts (per file
+    and author) left out as before_window and no_lines.
     """
     if touched is not None:
         lines = null_safe_join(lines, touched.select(*keys), keys, "left_semi")
-    recent = F.lit(True) if after is None else F.col(touch) > after
-    return (
-        resolve_identity(
-            count_lines(
-                lines.withColumn("_recent", recent), keys, by=[author, "_recent"], run_lines=run_lines
-            ).filter("_recent"),
-            author,
-            aliases,
-            into="author",
-        )
+    if boundary is not None:
+        recent = ~F.coalesce(F.col(boundary), F.lit(False))
+    else:
+        recent = F.lit(True) if after is None else F.col(touch) > after
+    counted = count_lines(lines.withColumn("_recent", recent), keys, by=[author, "_recent"], run_lines=run_lines)
+    if dropped is not None:
+        counted = dropped.watch(counted, before_window=~F.coalesce("_recent", F.lit(False)))
+    typed = (
+        resolve_identity(counted.filter("_recent"), author, aliases, into="author")
         .withColumn("type", file_type(F.col(path)))
         .withColumn("lines", countable(F.col("type")))
-        .filter(F.col("lines") > 0)
+    )
+    if dropped is not None:
+        typed = dropped.watch(typed, no_lines=F.col("lines") <= 0)
+    return (
+        typed.filter(F.col("lines") > 0)
         .groupBy(*keys, "type", "author")
         .agg(F.sum("lines").alias("lines"))
         .withColumn("language", file_language(F.col(path)))
@@ -120,14 +134,20 @@ def window_losses(
     path: str = "path",
     author: str = "raw_author",
     run_lines: int = RUN_LINES,
+    dropped: Dropped | None = None,
 ) -> DataFrame:
     """type, author, deleted: countable lines removed by somebody other than
     their author.
 
     The comment state starts afresh in every hunk. Both names are resolved on
-    counts per (hunk, author), and only then compared.
+    counts per (hunk, author), and only then compared. `dropped` counts hunks whose
+    first line the parent lines do not have (no_parent_lines).
     """
+    if dropped is not None:
+        hunks = dropped.watch(hunks, no_parent_lines=F.col("cnt") > 0)
     removed = hunk_lines(hunks, parent_lines, keys)
+    if dropped is not None:
+        removed = dropped.watch(removed, {"no_parent_lines": -1}, no_parent_lines=F.col("line_no") == F.col("start"))
     hunk_keys = list(dict.fromkeys([*keys, path, "commit_id", "start"]))
     counted = count_lines(removed, hunk_keys, by=[author, "deleting_author"], run_lines=run_lines)
     named = resolve_identity(

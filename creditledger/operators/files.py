@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, is_ignored
 from creditledger.functions.paths import in_skipped_directory, is_code_file
+from creditledger.operators.dropped import Dropped
 from creditledger.operators.joins import null_safe_join
 
 
@@ -18,12 +19,26 @@ def inventory(
     keys: Sequence[str] = ("path",),
     ignore_rules: Sequence[IgnoreRule] = (),
     path: str = "path",
+    dropped: Dropped | None = None,
 ) -> DataFrame:
-    """Code files that are neither in a skipped directory nor ignored, and tracked."""
-    kept = files.filter(is_code_file(F.col(path)) & ~in_skipped_directory(F.col(path)))
+    """Code files that are neither in a skipped directory nor ignored, and tracked.
+
+    `dropped` counts the rows left out: not_code, skipped_directory, ignored, untracked,
+    each under the first of these that holds.
+    """
+    code, skipped = is_code_file(F.col(path)), in_skipped_directory(F.col(path))
+    ignored = is_ignored(F.col(path), list(ignore_rules)) if ignore_rules else F.lit(False)
+    if dropped is not None:
+        files = dropped.watch(files, not_code=~code, skipped_directory=code & skipped, ignored=code & ~skipped & ignored)
+    kept = files.filter(code & ~skipped)
     if ignore_rules:
-        kept = kept.filter(~is_ignored(F.col(path), list(ignore_rules)))
-    return kept if tracked is None else tracked_only(kept, tracked, keys)
+        kept = kept.filter(~ignored)
+    if tracked is None:
+        return kept
+    if dropped is None:
+        return tracked_only(kept, tracked, keys)
+    found = tracked_only(dropped.watch(kept, untracked=F.lit(True)), tracked, keys)
+    return dropped.watch(found, {"untracked": -1}, untracked=F.lit(True))
 
 
 def tracked_only(files: DataFrame, tracked: DataFrame, keys: Sequence[str]) -> DataFrame:

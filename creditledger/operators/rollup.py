@@ -147,19 +147,16 @@ def report(entries: DataFrame, with_losses: bool) -> DataFrame:
 SORT_COLUMNS = ("_block", "_group", "_member", "_value")
 
 
-def in_report_order(rows: DataFrame, *first: Column) -> DataFrame:
+def report_order() -> list[Column]:
     """Groups by their lines, largest first, each total row ahead of its authors;
-    then types by lines, authors by lines (by net with losses), and the total.
-    A range-partitioned sort: large reports come out as several ordered parts."""
-    return rows.orderBy(
-        *first,
-        F.col("_block"),
-        F.desc("_group"),
-        F.asc("type"),
-        F.col("_member"),
-        F.desc("_value"),
-        F.asc("author"),
-    )
+    then types by lines, authors by lines (by net with losses), and the total."""
+    return [F.asc("_block"), F.desc("_group"), F.asc("type"), F.asc("_member"), F.desc("_value"), F.asc("author")]
+
+
+def in_report_order(rows: DataFrame, *first: Column) -> DataFrame:
+    """Rows as `report_order` has them, by a range-partitioned sort: large reports come
+    out as several ordered parts."""
+    return rows.orderBy(*first, *report_order())
 
 
 def flat_rows(rows: DataFrame, with_losses: bool) -> DataFrame:

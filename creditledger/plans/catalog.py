@@ -23,12 +23,14 @@ from creditledger.operators.hunks import hunk_lines, hunks_without_parent
 from creditledger.operators.identity import resolve_identity, unique_aliases
 from creditledger.operators.ignore_rules import compile_rules, rule_lines, without_ignored
 from creditledger.operators.line_state import classify_lines, count_lines, countable
+from creditledger.operators.order import numbered
 from creditledger.operators.rollup import (
     contributions,
     flat_rows,
     in_report_order,
     ledger_entries,
     report,
+    report_order,
     rollup,
     share_in_group,
     table_rows,
@@ -91,6 +93,12 @@ def ordered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("section", "type", "author", "lines", "share")
 
 
+def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the report as a column."""
+    rows = numbered(report(_event_entries(spark, sf_dir), with_losses=False), report_order())
+    return rows.select("row_no", "section", "type", "author", "lines")
+
+
 def last_touch_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     after, until = views.window_bounds()
     return last_touch(views.touches(spark, sf_dir), KEY, ORDER, ["type", "actor"], after, until)
@@ -331,6 +339,16 @@ def window_line_facts_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_facts(_code_at_end(spark, sf_dir), views.aliases(spark), None, FILE, touched=touched)
 
 
+def window_line_facts_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only in files whose content differs between the ends of the window."""
+    touched = file_operators.touched_paths(
+        views.content_manifest(spark, sf_dir, views.TO_SEQ), views.content_manifest(spark, sf_dir, views.FROM_SEQ), FILE
+    )
+    return window_facts(
+        _code_at_end(spark, sf_dir), views.aliases(spark), views.FROM_SEQ, FILE, touched=touched
+    )
+
+
 def _parent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.lines(spark, sf_dir).select("doc_id", "line_no", "content", "raw_author")
 
@@ -349,11 +367,9 @@ def hunk_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunks_without_parent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hunks of files whose parent lines were not delivered: here, unlabelled ones."""
-    parents = file_operators.tracked_only(
-        _parent_lines(spark, sf_dir), views.tracked(spark, sf_dir), DOC
-    )
-    return hunks_without_parent(views.hunks(spark, sf_dir), parents, DOC)
+    """Hunks of files that were renamed meanwhile, against the lines of all files."""
+    parents = views.lines(spark, sf_dir).select("doc_id", "path", "line_no")
+    return hunks_without_parent(views.renamed_hunks(spark, sf_dir), parents, FILE)
 
 
 def hunk_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +395,10 @@ def range_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visible(in_report_order(_range_report(spark, sf_dir)))
 
 
+def numbered_range_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _visible(numbered(_range_report(spark, sf_dir), report_order()))
+
+
 # --- report forms -------------------------------------------------------------
 
 
@@ -516,6 +536,9 @@ QUERIES: dict[str, Query] = {
     "blame_dump_parse": blame_dump_parse,
     "patch_log_parse": patch_log_parse,
     "patch_log_lines_parse": patch_log_lines_parse,
+    "numbered_sections": numbered_sections,
+    "numbered_range_report": numbered_range_report,
+    "window_line_facts_changed": window_line_facts_changed,
     "ignore_rules_table": ignore_rules_table,
     "ignore_rules_nested": ignore_rules_nested,
     "net_by_windows": net_by_windows,

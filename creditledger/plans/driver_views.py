@@ -165,6 +165,22 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def renamed_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hunks of `hunks`; those of commits from the tenth on name their file as the
+    document after theirs is named."""
+    doc_id = F.col("doc_id")
+    renamed = F.when(F.col("commit_id") < 10, F.col("path")).otherwise(path_of(doc_id + 1))
+    return hunks(spark, sf_dir).withColumn("path", renamed)
+
+
+def content_manifest(spark: SparkSession, sf_dir: str, until: int) -> DataFrame:
+    """Every file as far as it was written up to a position: what its lines hash to."""
+    kept = lines(spark, sf_dir).filter(F.col("touch_seq") <= until)
+    return kept.groupBy("doc_id", "path").agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.sum(F.crc32(F.concat_ws(":", "line_no", "content")))).alias("content_id")
+    )
+
+
 def aliases(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{k}', '{a}', '{c}', {o})" for k, a, c, o in ALIAS_ROWS)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS v(kind, alias_lower, canonical, ord)")

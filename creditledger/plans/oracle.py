@@ -33,6 +33,9 @@ SELECT *, concat(list_extract([{_quoted(views.DIRECTORIES)}], CAST(doc_id % 16 +
        list_extract([{_quoted(views.BASE_NAMES)}], CAST((doc_id // 16) % 23 + 1 AS INT))) AS path
 FROM documents"""
 
+RENAMED_PATH = f"""concat(list_extract([{_quoted(views.DIRECTORIES)}], CAST((doc_id + 1) % 16 + 1 AS INT)),
+       list_extract([{_quoted(views.BASE_NAMES)}], CAST(((doc_id + 1) // 16) % 23 + 1 AS INT)))"""
+
 AUTHOR_CASE = """CASE (doc_id + n*3) % 6 WHEN 0 THEN 'alice' WHEN 1 THEN 'Alice Anno <alice@x.org>'
     WHEN 2 THEN 'Bob <bob@x.org>' WHEN 3 THEN 'Robert <bob2@x.org>'
     WHEN 4 THEN 'carol' ELSE 'unknown' END"""
@@ -354,6 +357,16 @@ TOUCHED = """SELECT item_id FROM m_from f FULL OUTER JOIN m_to t USING (item_id)
 
 INVENTORY = f"SELECT doc_id FROM v_paths WHERE {IS_CODE} AND NOT {IS_SKIPPED}"
 
+#: A row's number in the report; `value` is what authors are ordered by.
+ROW_NO = """row_number() OVER (ORDER BY
+    CASE section WHEN 'by_type' THEN 1 WHEN 'by_author' THEN 2 WHEN 'total' THEN 3 ELSE 0 END,
+    CASE section WHEN 'by_author_and_type' THEN whole
+        WHEN 'by_author_and_type_total' THEN lines WHEN 'by_type' THEN lines END DESC NULLS LAST,
+    type NULLS FIRST, section = 'by_author_and_type',
+    CASE section WHEN 'by_author' THEN {value} ELSE lines END DESC, author NULLS FIRST)"""
+WITH_WHOLE = """(SELECT *, sum(CASE WHEN section = 'by_author_and_type' THEN lines END) OVER (PARTITION BY type) AS whole
+    FROM sections)"""
+
 # --- many rules, windows, revisions -------------------------------------------
 
 REPOSITORY_PATHS = f"SELECT doc_id, path, doc_id % {views.REPOSITORIES} AS repo FROM v_paths"
@@ -573,7 +586,14 @@ ORACLES: dict[str, str] = {
     ),
     "hunk_interval_join": _with(ALL_VIEWS, f"SELECT * EXCLUDE (path) FROM ({HUNK_JOIN})"),
     "hunks_without_parent": _with(
-        ALL_VIEWS, "SELECT * FROM v_hunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+        {
+            **FILE_VIEWS,
+            "v_hunks": HUNKS,
+            "named": "SELECT h.* EXCLUDE (path), h.path AS had, CASE WHEN h.commit_id < 10 THEN h.path ELSE "
+            + RENAMED_PATH
+            + " END AS path FROM v_hunks h",
+        },
+        "SELECT * EXCLUDE (had) FROM named WHERE path <> had",
     ),
     "hunk_losses": _with({**TYPED, **_losses()}, "SELECT type, author, deleted FROM losses"),
     "range_report": _report(
@@ -613,6 +633,18 @@ ORACLES: dict[str, str] = {
         1 + doc_id % 5 AS start, 2 + doc_id % 4 AS cnt FROM c
         UNION ALL SELECT lpad(CAST(first AS VARCHAR), 40, '0'), 'Author ' || (first % 7), path, 40, 1 FROM c""",
     ),
+    "numbered_sections": _report(EVENT_BASE, f"SELECT {ROW_NO.format(value='lines')} AS row_no, section, type, author, lines FROM {WITH_WHOLE}"),
+    "numbered_range_report": _report(
+        RANGE_BASE,
+        f"SELECT {ROW_NO.format(value='net')} AS row_no, section, type, author, lines, share, {PERCENT} AS percent, deleted, net FROM {WITH_WHOLE}",
+    ),
+    "window_line_facts_changed": _with(
+        _window_facts(
+            f"SELECT * FROM ({AT_END}) WHERE doc_id IN (SELECT doc_id FROM v_lines WHERE touch_seq > {views.FROM_SEQ} AND touch_seq <= {views.TO_SEQ})",
+            views.FROM_SEQ,
+        ),
+        "SELECT * FROM facts",
+    ),
     "ignore_rules_table": _with(PLAIN_RULES, LEFT_PATHS),
     "ignore_rules_nested": _with(NESTED_RULES, LEFT_PATHS),
     "net_by_windows": _with(

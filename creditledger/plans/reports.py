@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule
@@ -13,6 +13,9 @@ from creditledger.operators.attribution import displacements, last_touch
 from creditledger.operators.facts import snapshot_facts, window_facts, window_losses
 from creditledger.operators.files import inventory
 from creditledger.operators.rollup import ledger_entries
+from creditledger.sources.blame_dump import read_blame_dump
+from creditledger.sources.files import read_author_config
+from creditledger.sources.patch_log import read_patch_log
 
 
 def snapshot_entries(
@@ -51,6 +54,43 @@ def range_entries(
     return ledger_entries(facts, window_losses(removed, parent_lines, aliases, hunk_keys, path))
 
 
+def dump_lines(dump: DataFrame) -> DataFrame:
+    """The lines that the operators take, from rows of `sources.blame_dump`."""
+    return dump.select("file", "path", "line_no", "content", F.col("author").alias("raw_author"), "boundary")
+
+
+def snapshot_entries_from_dumps(spark: SparkSession, blame: str, authors: str | None = None) -> DataFrame:
+    """Who owns what, from a folder of attributed-line dumps of all files."""
+    return snapshot_entries(dump_lines(read_blame_dump(spark, blame)), read_author_config(spark, authors))
+
+
+def range_entries_from_dumps(
+    spark: SparkSession,
+    blame: str,
+    patch_log: str,
+    parent_blame: str,
+    authors: str | None = None,
+    commit_of: str = r"([0-9a-f]{7,64})[^/]*/[^/]*$",
+    from_start: bool = False,
+) -> DataFrame:
+    """Who changed what in a window and whose lines went, from folders of dumps.
+
+    `blame` holds a dump of each file at the end of the window, limited to the window so
+    that older lines are flagged as boundary (`from_start=True`: the window has no
+    beginning, and no line is too old); `patch_log` the window's patches;
+    `parent_blame` the lines each commit deleted, as they were attributed ahead of it,
+    in a folder per commit: the first group of `commit_of` in a dump's path names it.
+    """
+    aliases = read_author_config(spark, authors)
+    lines = dump_lines(read_blame_dump(spark, blame)).filter(is_code_file(F.col("path")))
+    facts = window_facts(lines, aliases, boundary=None if from_start else "boundary")
+    parents = dump_lines(read_blame_dump(spark, parent_blame)).select(
+        F.regexp_extract("file", commit_of, 1).alias("commit_id"), "path", "line_no", "content", "raw_author"
+    )
+    hunks = read_patch_log(spark, patch_log)
+    return ledger_entries(facts, window_losses(hunks, parents.distinct(), aliases))
+
+
 def touch_losses(
     touches: DataFrame,
     keys: Sequence[str],

@@ -2,7 +2,13 @@
 
 Both are range-sorted and written by as many tasks as the report needs; a small
 report comes out as a single part, a large one as parts. The concatenation of the
-JSON parts in name order is the document; CSV parts each repeat the header. No group of rows is ever gathered into one value.
+JSON parts in name order is the document; CSV parts each repeat the header, as Spark's
+own reader expects of the files of one table. No group of rows is ever gathered into one
+value.
+
+Both outputs appear or neither: they are written to a folder aside and renamed when both
+are whole. Between the two renames a note lies beside them; a run that finds it knows
+that the outputs there are half of a run that died, and takes them away.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ from creditledger.session import ensure_checkpoint_dir
 from creditledger.sources.files import path_exists
 
 CSV_NAME, JSON_NAME = "report_csv", "report_json"
+#: Where outputs are written first, and the note that they are being renamed.
+STAGED_NAME, NOTE_NAME = "_report_staged", "_report_renaming"
 
 
 def check_outputs_absent(spark, folder: str) -> None:
@@ -121,14 +129,44 @@ def write_json(rows: DataFrame, path: str, with_losses: bool) -> None:
     document.select("line").write.mode("errorifexists").text(path)
 
 
+def _store(spark, folder: str):
+    """The file system of `folder` and a function from names in it to paths."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    store = new(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store, lambda name: new(f"{folder}/{name}")
+
+
+def clear_unfinished(spark, folder: str) -> None:
+    """Take away what a run that died in `write_report` has left in `folder`."""
+    store, path = _store(spark, folder)
+    if store.exists(path(NOTE_NAME)):
+        # The note is only there between the renames of a run that found neither output.
+        for name in (CSV_NAME, JSON_NAME):
+            store.delete(path(name), True)
+        store.delete(path(NOTE_NAME), False)
+    store.delete(path(STAGED_NAME), True)
+
+
+def _publish(spark, folder: str) -> None:
+    store, path = _store(spark, folder)
+    store.create(path(NOTE_NAME), False).close()
+    for name in (CSV_NAME, JSON_NAME):
+        if not store.rename(path(f"{STAGED_NAME}/{name}"), path(name)):
+            raise OSError(f"could not rename {STAGED_NAME}/{name} in {folder}")
+    store.delete(path(NOTE_NAME), False)
+    store.delete(path(STAGED_NAME), True)
+
+
 def write_report(entries: DataFrame, folder: str, with_losses: bool) -> None:
-    """Write both forms of the report on `entries` (see `ledger_entries`).
+    """Write both forms of the report on `entries` (see `ledger_entries`), or none.
 
     The entries, at most two rows per (type, author), are checkpointed to the
     shared folder first: the guard and both outputs read them from there, and a
-    lost executor does not bring the source scan back.
+    lost executor does not bring the source scan back. One run at a time may write to
+    a folder.
     """
     spark = entries.sparkSession
+    clear_unfinished(spark, folder)
     check_outputs_absent(spark, folder)
     ensure_checkpoint_dir(spark)
     settled = entries.checkpoint()
@@ -136,5 +174,6 @@ def write_report(entries: DataFrame, folder: str, with_losses: bool) -> None:
     if booked.isEmpty():
         raise ValueError("nothing to report: no lines and no losses")
     rows = report(booked, with_losses)
-    write_csv(rows, f"{folder}/{CSV_NAME}", with_losses)
-    write_json(rows, f"{folder}/{JSON_NAME}", with_losses)
+    write_csv(rows, f"{folder}/{STAGED_NAME}/{CSV_NAME}", with_losses)
+    write_json(rows, f"{folder}/{STAGED_NAME}/{JSON_NAME}", with_losses)
+    _publish(spark, folder)

@@ -8,8 +8,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditledger.functions.shares import share_text
-from creditledger.operators.rollup import DELETED, LINES, in_report_order, ledger_entries, report, share_in_group, table_rows
+from creditledger.operators.order import numbered
+from creditledger.operators.rollup import (
+    DELETED,
+    LINES,
+    in_report_order,
+    ledger_entries,
+    report,
+    report_order,
+    share_in_group,
+    table_rows,
+)
 from creditledger.session import ensure_checkpoint_dir
+from creditledger.sinks import report_files
 from creditledger.sinks.report_files import check_outputs_absent, write_report
 
 
@@ -171,3 +182,53 @@ def test_null_type_keeps_its_share(spark):
     )
     got = {(r.type, r.author): (r.lines, r.group_lines) for r in share_in_group(entries).collect()}
     assert got == {(None, "a"): (1, 4), (None, "b"): (3, 4), ("code", "a"): (2, 2)}
+
+
+def _died(*args, **kwargs):
+    raise RuntimeError("died")
+
+
+def test_both_outputs_or_neither(spark, books, tmp_path, monkeypatch):
+    _, _, f, d = books
+    entries, folder = ledger_entries(f, d), str(tmp_path / "out")
+    seen = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(report_files, "write_json", _died)
+        write_report(entries, folder, True)
+    assert seen() == [report_files.STAGED_NAME]
+    # A run that dies between the renames leaves its note, and the next one clears up.
+    store = report_files._store
+
+    def once(spark, folder):
+        inner, path = store(spark, folder)
+        renames = iter([inner.rename, _died])
+
+        class Store:
+            def __getattr__(self, name):
+                return next(renames) if name == "rename" else getattr(inner, name)
+
+        return Store(), path
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(report_files, "_store", lambda spark, folder: (patch.setattr(report_files, "_store", once), store(spark, folder))[1])
+        write_report(entries, folder, True)
+    assert report_files.NOTE_NAME in seen() and "report_json" not in seen()
+    write_report(entries, folder, True)
+    assert seen() == ["report_csv", "report_json"]
+    with pytest.raises(FileExistsError):
+        write_report(entries, folder, True)
+    assert seen() == ["report_csv", "report_json"]
+
+
+@pytest.mark.parametrize("with_losses", [False, True])
+def test_numbered_rows(spark, books, with_losses):
+    _, _, f, d = books
+    rows = report(ledger_entries(f, d), with_losses)
+    want = [tuple(r)[:6] for r in in_report_order(rows).collect()]
+    got = sorted(numbered(rows, report_order()).collect(), key=lambda r: r.row_no)
+    assert [r.row_no for r in got] == list(range(1, len(want) + 1)) and [tuple(r)[:6] for r in got] == want
+    many = spark.range(20_000).select(F.hash("id").alias("v"), "id").repartition(7)
+    got = {r.id: r.n for r in numbered(many, [F.desc("v"), F.col("id")], "n").collect()}
+    by_value = sorted(many.collect(), key=lambda r: (-r.v, r.id))
+    assert [got[r.id] for r in by_value] == list(range(1, 20_001))
+    assert numbered(many.filter("false"), [F.col("v")]).collect() == []
