@@ -59,6 +59,7 @@ def _slice_chain(
     order: Sequence[str],
     value: str,
     slices: Sequence[str],
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `_prev` to `rows`: `value` of the row before, by key and order.
 
@@ -66,16 +67,18 @@ def _slice_chain(
     rows of one slice are sorted together. The first row of a slice takes the
     last value of the slice before it, found the same way one level up from
     `history`. There the slices may be NULL, which sorts before all others:
-    that is how rows ahead of `rows` hand over their last value.
+    that is how rows ahead of `rows` hand over their last value. `ends`, if known, is
+    the last value of each slice of `history`.
     """
     if not slices:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn("_prev", F.lag(value).over(ordered))
     fine, coarser = slices[0], slices[1:]
     ordered = Window.partitionBy(*keys, fine).orderBy(*order)
-    ends = history.groupBy(*keys, *slices).agg(
-        F.max(F.struct(*order, value)).getField(value).alias(value)
-    )
+    if ends is None:
+        ends = history.groupBy(*keys, *slices).agg(
+            F.max(F.struct(*order, value)).getField(value).alias(value)
+        )
     carried = _slice_chain(ends, ends, keys, [fine], value, coarser).select(
         *keys, fine, F.col("_prev").alias("_carried")
     )
@@ -125,6 +128,24 @@ def displacements(
     reduced to the last one per key before any shuffle; only the window itself
     is sorted.
     """
+    history, names = _history(touches, keys, order, actor, after, until, slices, op, keep)
+    in_window = _bounds(order[0], after, None)
+    chained = _slice_chain(history.filter(in_window), history, keys, order, "_state", names)
+    return _replaced(chained, keys, order, actor, keep)
+
+
+def _history(
+    touches: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    actor: str,
+    after: Column | None,
+    until: Column | None,
+    slices: Sequence[Column] | None,
+    op: str | None,
+    keep: Sequence[str],
+) -> tuple[DataFrame, list[str]]:
+    """Touches up to the window's end with `_state` and slices (NULL ahead of the window)."""
     if slices is None:
         slices = default_slices(touches, order[0])
     names = [f"_slice{i}" for i in range(max(len(slices), 1))]
@@ -138,7 +159,40 @@ def displacements(
         state.alias("_state"),
         *(F.when(in_window, s).alias(n) for s, n in zip(slices or [F.lit(0)], names)),
     )
-    chained = _slice_chain(history.filter(in_window), history, keys, order, "_state", names)
+    return history, names
+
+
+def _replaced(chained: DataFrame, keys: Sequence[str], order: Sequence[str], actor: str, keep: Sequence[str]) -> DataFrame:
     return chained.filter(
         (F.col("_prev.what") != "delete") & (F.col("_prev.who") != F.col(actor))
     ).select(*keys, *order, *keep, actor, F.col("_prev.who").alias("displaced"))
+
+
+def last_and_displaced(
+    touches: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    actor: str,
+    after: Column | None = None,
+    until: Column | None = None,
+    slices: Sequence[Column] | None = None,
+    op: str | None = None,
+    keep: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """`last_touch` (keys, order, `keep`, `actor`) and `displacements` of one window.
+
+    The last touch of a window is the latest of its slices' ends, which displacements
+    need anyway: both come from one aggregation, and the log is scanned twice, not three
+    times.
+    """
+    history, names = _history(touches, keys, order, actor, after, until, slices, op, keep)
+    ends = history.groupBy(*keys, *names).agg(F.max(F.struct(*order, "_state", *keep)).alias("_end"))
+    # Not a filter on the slices: it would go below the aggregation and part the two uses of it.
+    inside = F.col("_end") if after is None else F.when(F.col(names[0]).isNotNull(), F.col("_end"))
+    latest = ends.groupBy(*keys).agg(F.max(inside).alias("_end")).filter(F.col("_end").isNotNull())
+    alive = latest.filter(F.col("_end._state.what") != "delete") if op else latest
+    last = alive.select(*keys, *(F.col(f"_end.{c}").alias(c) for c in (*order, *keep)), F.col("_end._state.who").alias(actor))
+    states = ends.select(*keys, *names, F.col("_end._state").alias("_state"))
+    rows = history.filter(_bounds(order[0], after, None))
+    chained = _slice_chain(rows, history, keys, order, "_state", names, states)
+    return last, _replaced(chained, keys, order, actor, keep)

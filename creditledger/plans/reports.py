@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule
 from creditledger.functions.paths import is_code_file
-from creditledger.operators.attribution import displacements, last_touch
+from creditledger.operators.attribution import displacements, last_and_displaced
 from creditledger.operators.facts import snapshot_facts, window_facts, window_losses
 from creditledger.operators.files import inventory
 from creditledger.operators.rollup import ledger_entries
@@ -103,10 +103,12 @@ def touch_losses(
     op: str | None = None,
 ) -> DataFrame:
     """type, author, deleted: displacements counted for whom they displaced."""
-    return (
-        displacements(touches, keys, order, actor, after, until, slices, op, keep=[type_])
-        .groupBy(F.col(type_).alias("type"), F.col("displaced").alias("author"))
-        .agg(F.count(F.lit(1)).alias("deleted"))
+    return _lost(displacements(touches, keys, order, actor, after, until, slices, op, keep=[type_]), type_)
+
+
+def _lost(displaced: DataFrame, type_: str) -> DataFrame:
+    return displaced.groupBy(F.col(type_).alias("type"), F.col("displaced").alias("author")).agg(
+        F.count(F.lit(1)).alias("deleted")
     )
 
 
@@ -123,9 +125,8 @@ def touch_entries(
 ) -> DataFrame:
     """The range report on any touch log: last touches are credited, displaced
     predecessors are debited."""
-    facts = last_touch(touches, keys, order, [type_, actor], after, until, op).select(
+    last, displaced = last_and_displaced(touches, keys, order, actor, after, until, slices, op, keep=[type_])
+    facts = last.select(
         F.col(type_).alias("type"), F.col(actor).alias("author"), F.lit(1).cast("bigint").alias("lines")
     )
-    return ledger_entries(
-        facts, touch_losses(touches, keys, order, actor, type_, after, until, slices, op)
-    )
+    return ledger_entries(facts, _lost(displaced, type_))

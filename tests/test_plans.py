@@ -61,3 +61,13 @@ def test_dump_parser_shares_its_exchange(spark, small_dir):
 def test_alias_tables_are_broadcast(spark, small_dir):
     plan = executed(QUERIES["identity_resolve"](spark, small_dir))
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def test_net_report_scans_its_log_twice(spark, small_dir):
+    for name in ("net_by_pair", "net_report"):
+        assert executed(QUERIES[name](spark, small_dir)).count("FileScan") == 2
+
+
+def test_many_windows_take_one_pass(spark, small_dir):
+    assert executed(QUERIES["line_facts_by_windows"](spark, small_dir)).count("FileScan parquet") == 1
+    assert executed(QUERIES["tree_at_revisions"](spark, small_dir)).count("FileScan parquet") == 1
