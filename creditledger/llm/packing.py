@@ -10,9 +10,11 @@ the gap. Documents never leave their partition, so nothing is shuffled; the pool
 is emptied at the partition's end, and its last sequence is cut at powers of two,
 which need no padding.
 
-Ids are those of the tokenizer file given. Its pattern only looks ahead at runs of
-white space, so texts without such runs take the same pattern without the look
-ahead, which is faster; the ids are equal.
+Ids are those of the tokenizer file given, as its library makes them with
+add_special_tokens=False. Texts that hold one of the file's added tokens are given to the
+library; the others to a faster encoder of the same ranks. The pattern only looks ahead at
+runs of white space, so texts without such runs take the same pattern without the look
+ahead; the ids are equal.
 
 Defined cases: empty table, no pieces; null or empty text, the end id alone; null
 loss_from, 0 (every id bears loss); null or repeated doc_id, a document of its own
@@ -70,13 +72,16 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             for name, spaces in (("fast", r"\s+"), ("full", r"\s+(?!\S)|\s+"))
         )
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        added = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
         def encode(text: str) -> list[int]:
+            if added.search(text):
+                return slow.encode(text, add_special_tokens=False).ids
             try:
                 return (full if _SPACES.search(text) else fast).encode_ordinary(text)
-            except BaseException as failure:  # very long runs can end the look ahead with a panic
-                if isinstance(failure, KeyboardInterrupt | SystemExit | MemoryError):
+            except BaseException as failure:
+                # Very long runs can end the look ahead with a panic, which is no Exception.
+                if type(failure).__name__ != "PanicException" and not isinstance(failure, ValueError):
                     raise
                 return slow.encode(text, add_special_tokens=False).ids
 

@@ -11,7 +11,6 @@ from creditledger.llm.queries import tokenizer_file
 from tests.llm.conftest import EDGES
 
 WHOLE = Tokenizer.from_file(tokenizer_file())
-WHOLE.encode_special_tokens = True
 
 
 def ids(text):
@@ -62,3 +61,10 @@ def test_edges(edges, nothing):
     check(rows, pack(unique, tokenizer_file()).collect(), 1024, 256, 1024)
     assert pack(nothing, tokenizer_file()).count() == 0
     assert sum(p.start == 0 for p in pack(edges, tokenizer_file()).collect()) == len(EDGES)
+
+
+def test_added_tokens_are_one_id(spark):
+    assert encoder(tokenizer_file())("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rows = [(1, "a <|endoftext|> b" * 300, 0), (2, "<|endoftext|>", 0), (3, "<|endoftext |>", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, loss_from long")
+    check(rows, pack(docs, tokenizer_file()).collect(), 1024, 256, 1024)
