@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditledger.operators.intervals import Intervals
 from creditledger.operators.joins import null_safe_join
 
 
@@ -89,9 +90,28 @@ def _slice_chain(
     )
 
 
+#: Ranges that positions without a natural unit are cut into, how many of them make a
+#: coarser slice, and positions drawn to find their bounds.
+QUANTILES, COARSER, DRAWN = 256, 32, 16_384
+
+
+def quantile_slices(touches: DataFrame, position: str) -> list[Column]:
+    """Slices between quantiles of the positions, for those that can only be compared
+    (texts, decimals, floats). The quantiles are those of DRAWN positions drawn at
+    random; they only decide how even the slices are, not what comes out."""
+    drawn = touches.select(F.col(position).alias("p")).filter("p IS NOT NULL").orderBy(F.rand(1)).limit(DRAWN)
+    values = sorted(v for (v,) in drawn.collect() if v == v)
+    bounds = values[:: max(1, len(values) // QUANTILES)]
+    if not bounds:
+        return []
+    kind = touches.schema[position].dataType
+    fine = Intervals(bounds, lambda v: F.lit(v).cast(kind)).of(F.col(position))
+    return [fine, F.floor(fine / COARSER)]
+
+
 def default_slices(touches: DataFrame, position: str) -> list[Column]:
     """Slices of a time (hours, days), a date (days, 32 days) or a whole number (4096,
-    about a million); none for other types."""
+    about a million); by quantiles for other types, which draws from `touches`."""
     at, kind = F.col(position), touches.schema[position].dataType
     if isinstance(kind, T.TimestampType):
         seconds = F.unix_micros(at) / 1_000_000
@@ -104,6 +124,8 @@ def default_slices(touches: DataFrame, position: str) -> list[Column]:
         return [day, F.floor(day / 32)]
     if isinstance(kind, T.IntegralType):
         return [F.floor(at / (1 << 12)), F.floor(at / (1 << 20))]
+    if isinstance(kind, T.StringType | T.DecimalType | T.FractionalType):
+        return quantile_slices(touches, position)
     return []
 
 

@@ -24,6 +24,7 @@ from creditledger.operators.identity import resolve_identity, unique_aliases
 from creditledger.operators.ignore_rules import compile_rules, rule_lines, without_ignored
 from creditledger.operators.line_state import classify_lines, count_lines, countable
 from creditledger.operators.order import numbered
+from creditledger.operators.reuse import KNOWN, content_counts, with_counts
 from creditledger.operators.rollup import (
     contributions,
     flat_rows,
@@ -263,6 +264,21 @@ def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_counts_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of one source is counted first; of all documents then only those whose
+    text it does not have."""
+    text = F.coalesce("text", F.lit(""))
+    documents = views.read(spark, sf_dir, "documents").select("doc_id", "source", text.alias("content"))
+    files = documents.select("doc_id", "source", F.sha2("content", 256).alias("content_id"))
+
+    def load(wanted: DataFrame) -> DataFrame:
+        return wanted.join(documents.select("doc_id", "content"), "doc_id")
+
+    known = content_counts(file_operators.at_revision(files, "src1", "source"), spark.createDataFrame([], KNOWN), DOC, load)
+    fresh = content_counts(files, known, DOC, load)
+    return with_counts(files, known, fresh).select("doc_id", "n_lines", "n_filled", "n_code", "reused")
+
+
 # --- people -------------------------------------------------------------------
 
 
@@ -536,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "blame_dump_parse": blame_dump_parse,
     "patch_log_parse": patch_log_parse,
     "patch_log_lines_parse": patch_log_lines_parse,
+    "line_counts_reused": line_counts_reused,
     "numbered_sections": numbered_sections,
     "numbered_range_report": numbered_range_report,
     "window_line_facts_changed": window_line_facts_changed,

@@ -633,6 +633,17 @@ ORACLES: dict[str, str] = {
         1 + doc_id % 5 AS start, 2 + doc_id % 4 AS cnt FROM c
         UNION ALL SELECT lpad(CAST(first AS VARCHAR), 40, '0'), 'Author ' || (first % 7), path, 40, 1 FROM c""",
     ),
+    "line_counts_reused": _with(
+        {
+            **FILE_VIEWS,
+            "v_plain": PLAIN_LINES,
+            "taken": "SELECT doc_id, n + 1 AS line_no, l AS content FROM v_plain",
+            **_automaton("taken", "doc_id"),
+            "counted": "SELECT doc_id, count(*) AS n_lines, CAST(sum(filled) AS BIGINT) AS n_filled, CAST(sum(code) AS BIGINT) AS n_code"
+            " FROM flagged GROUP BY 1",
+        },
+        "SELECT c.*, d.text IN (SELECT text FROM documents WHERE source = 'src1') AS reused FROM counted c JOIN documents d USING (doc_id)",
+    ),
     "numbered_sections": _report(EVENT_BASE, f"SELECT {ROW_NO.format(value='lines')} AS row_no, section, type, author, lines FROM {WITH_WHOLE}"),
     "numbered_range_report": _report(
         RANGE_BASE,

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from creditledger.operators.attribution import displacements, last_touch
+from creditledger.operators.attribution import default_slices, displacements, last_touch
 from creditledger.operators.rollup import contributions, ledger_entries
 from creditledger.plans.reports import touch_entries, touch_losses
 
@@ -107,3 +107,24 @@ def test_default_slices_change_no_row(spark, kind):
         return sorted(map(tuple, displacements(touches, ["k"], ["at", "i"], "who", keep=["i"], **settings).select("k", "i", "displaced").collect()))
 
     assert run() == run(slices=[])
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,3)", "double", "binary"])
+def test_positions_that_can_only_be_compared_are_cut_by_quantiles(spark, kind):
+    rng = random.Random(kind)
+    rows = [(rng.choice("kl"), n, rng.choice("xyz")) for n in rng.sample(range(10**6), 4000)]
+    touches = spark.createDataFrame(rows, "k string, n long, actor string").repartition(5)
+    at = F.lpad(F.col("n").cast("string"), 9, "0") if kind in ("string", "binary") else F.col("n") / 7
+    touches = touches.withColumn("at", at.cast(kind))
+    slices = default_slices(touches, "at")
+    assert len(slices) == (0 if kind == "binary" else 2)
+    if slices:
+        sizes = [r["count"] for r in touches.groupBy(slices[0]).count().collect()]
+        assert len(sizes) > 200 and max(sizes) < 100
+    want, last = [], {}
+    for k, n, actor in sorted(rows, key=lambda r: r[1]):
+        if k in last and last[k] != actor:
+            want.append((k, actor, last[k]))
+        last[k] = actor
+    got = displacements(touches, ["k"], ["at", "n"], "actor")
+    assert sorted((r.k, r.actor, r.displaced) for r in got.collect()) == sorted(want)

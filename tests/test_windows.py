@@ -8,8 +8,8 @@ from creditledger.operators.facts import window_facts
 from creditledger.operators.files import touched_paths, tracked_only
 from creditledger.operators.hunks import BRANCH, _level_bins, hunk_lines, hunks_without_parent
 from creditledger.operators.rollup import contributions
+from creditledger.operators.intervals import Intervals
 from creditledger.operators.windows import (
-    Intervals,
     Span,
     last_touch_by_window,
     line_facts_by_window,
