@@ -1,13 +1,17 @@
-"""Exact duplicates by a tree of hash aggregations of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
 Texts are equal when they are identical after every run of ASCII white space has
 become one space; null counts as empty. Every partition of the digest table is a
-run. In each round, `fan_in` neighbouring runs become one: they meet by the first
-byte of the digest, are aggregated by digest (Spark drops the sort below, so this is
-a hash aggregation and no ordered merge), and one row per digest goes on, with the smallest doc_id and the number of rows so far. So a group of copies of
-any size sends one row per run, and no task ever sees the rows of a group. The
-lengths and a second hash are compared at every level; a digest that stands for
-two texts ends the job instead of dropping a row.
+run: one row per digest, with the smallest doc_id and the number of rows. In each
+round, `fan_in` neighbouring runs become one (two of them: binomial rounds): their rows
+are brought into digest order and merged there, so that the first of equal digests goes
+on with the smallest doc_id and the sum of the numbers. A digest meets as many rows as
+runs are merged, so a group of copies of any size sends one row per run and round, and
+no task ever gathers the rows of a group while merging; the last join, which gives every
+row its group, splits the rows of a busy digest at run time. The lengths and a second
+hash are compared at every level; a digest that stands for two texts ends the job
+instead of dropping a row. Rounds cost a shuffle of the digests each: a table of very many
+partitions takes fewer with a larger `fan_in`, to the same result.
 
 Defined cases: empty table, no rows; null text, equal to the empty text; null
 doc_id, never chosen as long as the group has another, and kept where it has
@@ -19,12 +23,12 @@ DataFrame functions only, no Python on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditledger.llm.common import keep_rows, stored
 
-FAN_IN = 16
+FAN_IN = 2
 
 
 def normalised(text: Column) -> Column:
@@ -41,28 +45,35 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """One row per digest from rows (run, sha, size, second, keep_id, n): runs are
-    merged `fan_in` at a time until one is left."""
+    merged `fan_in` at a time, in digest order, until one is left."""
+    runs = runs.select("run", "sha", "size", "second", "keep_id", "n")
+    first = F.asc_nulls_last("keep_id")
+    equal = Window.partitionBy("run", "sha").orderBy(first)
+    every = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while True:
         n_runs = -(-n_runs // fan_in)
         met = (
             runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition(F.col("run"), F.col("range"))
-            .sortWithinPartitions("run", "range", "sha")
+            .repartition("run", "sha")
+            .sortWithinPartitions("run", "sha", first)
         )
-        runs = met.groupBy("run", "range", "sha").agg(
-            F.min("keep_id").alias("keep_id"),
-            F.sum("n").alias("n"),
-            F.min("size").alias("size"),
-            F.max("size").alias("_size"),
-            F.min("second").alias("second"),
-            F.max("second").alias("_second"),
+        same = (F.min("size").over(every) == F.max("size").over(every)) & (
+            F.min("second").over(every) == F.max("second").over(every)
         )
-        same = (F.col("size") == F.col("_size")) & (F.col("second") == F.col("_second"))
-        runs = runs.withColumn(
-            "n", F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("one digest stands for two texts")).cast("long"))
-        ).drop("_size", "_second")
+        merged = met.select(
+            "run",
+            "sha",
+            "size",
+            "second",
+            "keep_id",
+            F.sum("n").over(every).alias("n"),
+            same.alias("_same"),
+            F.row_number().over(equal).alias("_place"),
+        )
+        checked = F.when(F.col("_same"), F.col("n")).otherwise(F.raise_error(F.lit("one digest stands for two texts")).cast("long"))
+        runs = merged.filter("_place = 1").withColumn("n", checked).drop("_same", "_place")
         if n_runs <= 1:
-            return runs.drop("run", "range")
+            return runs.drop("run")
 
 
 def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
@@ -71,8 +82,7 @@ def exact_groups(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     last = table.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0]
     first = (
         table.withColumn("run", F.spark_partition_id())
-        .withColumn("range", F.substring("sha", 1, 2))
-        .groupBy("run", "range", "sha", "size", "second")
+        .groupBy("run", "sha", "size", "second")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     )
     groups = merge_runs(first, (last or 0) + 1, fan_in)

@@ -56,3 +56,19 @@ def test_repeated_ids_lose_no_text_and_keep_no_copy(spark, table):
     assert kept([(None, "aaa"), (7, "aaa"), (8, "aaa"), (8, "bbb")]) == [(7, "aaa"), (8, "bbb"), (None, "aaa")]
     rows = [(1, "aaa", lang) for lang in ("fr", "de", "en", "de")]
     assert [r.lang for r in drop_exact_copies(table(rows)).collect()] == ["de"]
+
+
+def test_runs_are_merged_in_order_two_at_a_time(spark):
+    runs = spark.createDataFrame(
+        [(r, f"{d:02x}", d, d, None if r == 2 else 100 * d + r, 1) for r in range(7) for d in range(40) if (d + r) % 3],
+        "run int, sha string, size int, second long, keep_id long, n long",
+    )
+    merged = merge_runs(runs, 7)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 3 and "HashAggregate" not in plan and "Python" not in plan
+    got = {r.sha: (r.keep_id, r.n) for r in merged.collect()}
+    want = {}
+    for d in range(40):
+        have = [r for r in range(7) if (d + r) % 3]
+        want[f"{d:02x}"] = (min(100 * d + r for r in have if r != 2), len(have))
+    assert got == want
