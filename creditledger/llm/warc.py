@@ -202,7 +202,7 @@ def write_archive(
     every = rows.withColumns({"sum": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long")}).union(marks)
     placed = (
         every.withColumn("shard", shard_of("page_id"))
-        .repartition(len(edges) + 1, "shard")
+        .repartitionById(len(edges) + 1, "shard")
         .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.col("refers_to").isNull(), "sum", "url", "payload")
         .select("shard", "page_id", "url", "payload", "sum", "refers_to")
     )
@@ -259,10 +259,22 @@ def write_archive(
     return committed
 
 
-def _members(stream: pa.NativeFile) -> Iterator[bytes]:
-    """The gzip members of a file, one after another."""
+class _Total:
+    """Size and digest of what has been read."""
+
+    def __init__(self):
+        self.size, self.sum = 0, hashlib.sha256()
+
+    def update(self, data: bytes) -> None:
+        self.size += len(data)
+        self.sum.update(data)
+
+
+def _members(stream: pa.NativeFile, total: _Total) -> Iterator[bytes]:
+    """The gzip members of a file, one after another; all its bytes go into `total`."""
     inflate, out = zlib.decompressobj(31), []
     while chunk := stream.read(1 << 20):
+        total.update(chunk)
         while chunk:
             out.append(inflate.decompress(chunk))
             chunk = inflate.unused_data
@@ -301,9 +313,14 @@ def parse_record(data: bytes) -> tuple | None:
     )
 
 
+_CHECKED = ("name", "bytes", "records", "sha256")
+
+
 def read_archive(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the manifest's files: page_id, url, record_type, refers_to,
-    payload_bytes and payload_digest (of the full payload), payload (of responses)."""
+    payload_bytes and payload_digest (of the full payload), payload (of responses). A file
+    that is missing, or has not the bytes, records or digest that the manifest gives,
+    ends the job."""
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -314,20 +331,23 @@ def read_archive(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                rows, held = [], 0
+            for name, size, records, digest in zip(*(batch.column(c).to_pylist() for c in _CHECKED), strict=True):
+                rows, held, found, total = [], 0, 0, _Total()
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for member in _members(stream):
+                    for member in _members(stream, total):
                         if (row := parse_record(member)) is not None:
                             rows.append(row)
                             held += len(member)
+                            found += 1
                         if held > 4 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
+                if (total.size, found, total.sum.hexdigest()) != (size, records, digest):
+                    raise OSError(f"{name} is not what the manifest says: {found} of {records} records, {total.size} of {size} bytes")
                 if rows:
                     yield batch_of(rows)
 
     # A number of its own keeps adaptive execution from reading all files in one task.
-    files = manifest.select("name").repartition(max(1, manifest.count()), "name")
+    files = manifest.select(*_CHECKED).repartition(max(1, manifest.count()), "name")
     return files.mapInArrow(read, RECORDS)
 

@@ -89,3 +89,28 @@ def test_shards_follow_crowded_ids(spark):
     edges = shard_edges(rows, 100_000)
     sizes = [sum(a <= i < b for i in ids) for a, b in zip([-1, *edges], [*edges, 10**13], strict=True)]
     assert edges == sorted(edges) and sum(sizes) == 1000 and max(sizes) <= 70
+
+
+@pytest.mark.parametrize("lost", ["members", "file", "all"])
+def test_lost_records_are_noticed(pages, tmp_path, lost):
+    """A file cut off between two records is whole gzip, but not what the manifest says."""
+    folder, manifest = archive(pages, tmp_path, "g" + lost)
+    path = max(glob.glob(f"{tmp_path}/g{lost}/*.gz"), key=os.path.getsize)
+    data = open(path, "rb").read()
+    starts = [i for i in range(len(data)) if data[i : i + 4] == b"\x1f\x8b\x08\x00"]
+    assert len(starts) > 2
+    if lost == "file":
+        os.remove(path)
+    else:
+        open(path, "wb").write(data[: starts[-1]] if lost == "members" else b"")
+    with pytest.raises(Exception, match="manifest|No such file|not found"):
+        read_archive(manifest, folder).collect()
+
+
+def test_every_shard_is_a_task(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "u", "x" * 900) for i in range(400)], "page_id long, url string, html string")
+    manifest = write_archive(rows, f"file://{tmp_path}/many", shard_bytes=20_000)
+    assert manifest.select("shard").distinct().count() > 10
+    # The temporary names end in the attempt that wrote them.
+    written = manifest.select("shard", F.substring_index("temporary", ".", -1).alias("attempt")).distinct()
+    assert written.groupBy("attempt").count().agg(F.max("count")).first()[0] == 1
