@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditledger.functions.paths import file_language, file_type
+from creditledger.functions.paths import RULES, PathRules, file_language, file_type
 from creditledger.operators.dropped import Dropped
 from creditledger.operators.hunks import hunk_lines
 from creditledger.operators.identity import resolve_identity
@@ -40,6 +40,7 @@ def snapshot_facts(
     resolve_before_argmax: bool = False,
     run_lines: int = RUN_LINES,
     dropped: Dropped | None = None,
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """keys, type, lines, author, language: each file's countable lines, credited
     to the author of most of its lines.
@@ -63,7 +64,7 @@ def snapshot_facts(
             F.sum("n_filled").alias("n_filled"),
             F.sum("n_code").alias("n_code"),
         )
-        .withColumn("type", file_type(F.col(path)))
+        .withColumn("type", file_type(F.col(path), rules))
         .withColumn("lines", countable(F.col("type")))
     )
     empty, unknown = F.col("lines") <= 0, F.col("author") == "unknown"
@@ -73,7 +74,7 @@ def snapshot_facts(
     if not resolve_before_argmax:
         owned = resolve_identity(owned, "author", aliases)
     return owned.select(
-        *keys, "type", "lines", "author", file_language(F.col(path)).alias("language")
+        *keys, "type", "lines", "author", file_language(F.col(path), rules).alias("language")
     )
 
 
@@ -89,6 +90,7 @@ def window_facts(
     run_lines: int = RUN_LINES,
     boundary: str | None = None,
     dropped: Dropped | None = None,
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """keys, type, lines, author, language: surviving countable lines by the
     author of their last touch, where that touch is later than `after`.
@@ -112,7 +114,7 @@ def window_facts(
         counted = dropped.watch(counted, before_window=~F.coalesce("_recent", F.lit(False)))
     typed = (
         resolve_identity(counted.filter("_recent"), author, aliases, into="author")
-        .withColumn("type", file_type(F.col(path)))
+        .withColumn("type", file_type(F.col(path), rules))
         .withColumn("lines", countable(F.col("type")))
     )
     if dropped is not None:
@@ -121,7 +123,7 @@ def window_facts(
         typed.filter(F.col("lines") > 0)
         .groupBy(*keys, "type", "author")
         .agg(F.sum("lines").alias("lines"))
-        .withColumn("language", file_language(F.col(path)))
+        .withColumn("language", file_language(F.col(path), rules))
         .select(*keys, "type", "lines", "author", "language")
     )
 
@@ -135,6 +137,7 @@ def window_losses(
     author: str = "raw_author",
     run_lines: int = RUN_LINES,
     dropped: Dropped | None = None,
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """type, author, deleted: countable lines removed by somebody other than
     their author.
@@ -154,7 +157,7 @@ def window_losses(
         resolve_identity(counted, author, aliases), "deleting_author", aliases
     ).filter(F.col(author) != F.col("deleting_author"))
     return (
-        named.withColumn("type", file_type(F.col(path)))
+        named.withColumn("type", file_type(F.col(path), rules))
         .withColumn("deleted", countable(F.col("type")))
         .filter(F.col("deleted") > 0)
         .groupBy("type", F.col(author).alias("author"))

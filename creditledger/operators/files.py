@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, is_ignored
-from creditledger.functions.paths import in_skipped_directory, is_code_file
+from creditledger.functions.paths import RULES, PathRules, in_skipped_directory, is_code_file
 from creditledger.operators.dropped import Dropped
 from creditledger.operators.joins import null_safe_join
 
@@ -20,13 +20,14 @@ def inventory(
     ignore_rules: Sequence[IgnoreRule] = (),
     path: str = "path",
     dropped: Dropped | None = None,
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """Code files that are neither in a skipped directory nor ignored, and tracked.
 
     `dropped` counts the rows left out: not_code, skipped_directory, ignored, untracked,
     each under the first of these that holds.
     """
-    code, skipped = is_code_file(F.col(path)), in_skipped_directory(F.col(path))
+    code, skipped = is_code_file(F.col(path), rules), in_skipped_directory(F.col(path), rules)
     ignored = is_ignored(F.col(path), list(ignore_rules)) if ignore_rules else F.lit(False)
     if dropped is not None:
         files = dropped.watch(files, not_code=~code, skipped_directory=code & skipped, ignored=code & ~skipped & ignored)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule
-from creditledger.functions.paths import is_code_file
+from creditledger.functions.paths import RULES, PathRules, is_code_file
 from creditledger.operators.attribution import displacements, last_and_displaced
 from creditledger.operators.facts import snapshot_facts, window_facts, window_losses
 from creditledger.operators.files import inventory
@@ -26,14 +26,15 @@ def snapshot_entries(
     tracked: DataFrame | None = None,
     tracked_keys: Sequence[str] | None = None,
     ignore_rules: Sequence[IgnoreRule] = (),
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """Who owns what: entries for `report(entries, with_losses=False)`.
 
     Only files of the inventory count: code files outside skipped directories, not
     ignored and, where `tracked` is given, in it. Lines of others go before the shuffle.
     """
-    counted = inventory(lines, tracked, tracked_keys or keys, ignore_rules, path)
-    return ledger_entries(snapshot_facts(counted, aliases, keys, path))
+    counted = inventory(lines, tracked, tracked_keys or keys, ignore_rules, path, rules=rules)
+    return ledger_entries(snapshot_facts(counted, aliases, keys, path, rules=rules))
 
 
 def range_entries(
@@ -46,12 +47,14 @@ def range_entries(
     hunk_keys: Sequence[str] = ("commit_id", "path"),
     touched: DataFrame | None = None,
     path: str = "path",
+    rules: PathRules = RULES,
 ) -> DataFrame:
     """Who changed what in the window and whose lines went: entries for
     `report(entries, with_losses=True)`. Only code files count, on either side."""
-    facts = window_facts(lines.filter(is_code_file(F.col(path))), aliases, after, keys, path, touched=touched)
-    removed = hunks.filter(is_code_file(F.col(path)))
-    return ledger_entries(facts, window_losses(removed, parent_lines, aliases, hunk_keys, path))
+    code = is_code_file(F.col(path), rules)
+    facts = window_facts(lines.filter(code), aliases, after, keys, path, touched=touched, rules=rules)
+    removed = hunks.filter(code)
+    return ledger_entries(facts, window_losses(removed, parent_lines, aliases, hunk_keys, path, rules=rules))
 
 
 def dump_lines(dump: DataFrame) -> DataFrame:

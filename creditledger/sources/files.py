@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import IgnoreRule, parse_ignore_rules
 from creditledger.functions.lines import split_lines
-from creditledger.functions.paths import is_skipped_name
+from creditledger.functions.paths import RULES, PathRules, is_skipped_name
 from creditledger.session import shared_folder
 from creditledger.sources.schemas import AUTHOR_CONFIG
 
@@ -51,7 +51,7 @@ def _listed(store: pafs.FileSystem, folder: str) -> tuple[list[pafs.FileInfo], l
     return [f for f in found if f.type == pafs.FileType.File], directories
 
 
-def _level(prune: bool, budget: int):
+def _level(prune: bool, budget: int, rules: PathRules):
     """Lists the folders of a frontier, rows (root, path); a task that has listed `budget`
     folders hands on those it has found but not entered, as rows with `open`."""
 
@@ -76,7 +76,7 @@ def _level(prune: bool, budget: int):
                     files, directories = _listed(store, f"{base}/{at}".rstrip("/") or "/")
                     spent += 1
                     below = f"{at}/" if at else ""
-                    waiting += [below + d.base_name for d in directories if not (prune and is_skipped_name(d.base_name))]
+                    waiting += [below + d.base_name for d in directories if not (prune and is_skipped_name(d.base_name, rules))]
                     for low in range(0, len(files), LISTED_ROWS):
                         some = files[low : low + LISTED_ROWS]
                         yield rows(root, [below + f.base_name for f in some], [f.size for f in some])
@@ -86,7 +86,9 @@ def _level(prune: bool, budget: int):
     return run
 
 
-def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True, budget: int = LIST_BUDGET) -> DataFrame:
+def list_trees(
+    spark: SparkSession, roots: Sequence[str], prune: bool = True, budget: int = LIST_BUDGET, rules: PathRules = RULES
+) -> DataFrame:
     """root, path (relative to it), size of every file below the given folders.
 
     Spark's own readers skip names that start with '.' or '_', among them
@@ -105,7 +107,7 @@ def list_trees(spark: SparkSession, roots: Sequence[str], prune: bool = True, bu
         tasks = max(1, min(waiting, MOST_LIST_TASKS))
         # Dealt at random: neighbours in the tree tend to be alike in size.
         dealt = frontier.repartition(tasks, F.xxhash64("root", "path"))
-        dealt.mapInArrow(_level(prune, budget), known).write.parquet(f"{folder}/level={depth}")
+        dealt.mapInArrow(_level(prune, budget, rules), known).write.parquet(f"{folder}/level={depth}")
         frontier = spark.read.schema(known).parquet(f"{folder}/level={depth}").filter("open").select("root", "path")
         waiting, depth = frontier.count(), depth + 1
     if not depth:

@@ -17,31 +17,15 @@ def _struct(**columns):
     return StructType([StructField(name, type_()) for name, type_ in columns.items()])
 
 
-FILES = _struct(repo=StringType, commit_id=StringType, path=StringType, content=StringType)
-
-LINES = _struct(
-    repo=StringType, commit_id=StringType, path=StringType, line_no=LongType,
-    content=StringType, raw_author=StringType, touch_seq=LongType, boundary=BooleanType,
+# What the readers of dumps and logs give.
+DUMP_LINES = _struct(
+    file=StringType, commit_id=StringType, path=StringType, line_no=LongType,
+    author=StringType, boundary=BooleanType, content=StringType,
 )
-
 HUNKS = _struct(
-    repo=StringType, commit_id=StringType, seq=LongType, deleting_author=StringType,
-    old_path=StringType, start=LongType, cnt=LongType,
+    commit_id=StringType, deleting_author=StringType, path=StringType, start=LongType, cnt=LongType,
 )
-
-TOUCHES = _struct(key=StringType, type=StringType, actor=StringType, ord=LongType, op=StringType)
-
-TRACKED = _struct(repo=StringType, commit_id=StringType, path=StringType)
-
-MANIFEST = _struct(repo=StringType, commit_id=StringType, path=StringType, content_id=StringType)
-
-ALIASES = _struct(kind=StringType, alias_lower=StringType, canonical=StringType, ord=IntegerType)
-
-FACTS = _struct(
-    path=StringType, type=StringType, lines=LongType, author=StringType, language=StringType
-)
-
-LOSSES = _struct(type=StringType, author=StringType, deleted=LongType)
+RECORDS = _struct(file=StringType, split=LongType, seq=LongType, value=StringType)
 
 _MAPPING = StructType(
     [

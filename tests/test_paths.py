@@ -2,6 +2,9 @@ from pyspark.sql import functions as F
 
 from creditledger.functions import paths as p
 from creditledger.functions.ignore import IgnoreRule, glob_to_regex, is_ignored, parse_ignore_rules
+from creditledger.operators.rollup import contributions
+from creditledger.plans.reports import snapshot_entries
+from creditledger.sources.files import read_author_config
 
 TYPED = {
     ("main_code", "java"): ["shop/src/main/java/Cart.java", "src/Latest.java", "a/Contest.java"],
@@ -98,3 +101,27 @@ def test_last_matching_rule_wins(spark):
 
     assert _map(spark, paths, is_ignored(F.col("path"), rules)) == {x: loop(x) for x in paths}
     assert not any(_map(spark, paths, is_ignored(F.col("path"), [])).values())
+
+
+def test_other_word_lists(spark):
+    """A measure of one's own: the lists are parameters, down to the reports."""
+    ours = p.PathRules(
+        languages={".sql": "sql", ".c": "c", ".it's": "odd", ".txt": "text"},
+        build_basenames=("cmakelists.txt",), build_extensions=(), test_segments=("check",), skipped_directories=("vendor",),
+        code_basenames=(), code_prefixes=(), code_suffixes=(), skipped_suffix="",
+    )
+    want = {
+        "a.sql": ("main_code", "sql", True, False), "check/a.c": ("test_code", "c", True, False),
+        "x/CMakeLists.txt": ("build", "text", True, False), "tests/a.py": ("other", "other", False, False),
+        "a.it's": ("main_code", "odd", True, False), "vendor/a.c": ("main_code", "c", True, True),
+        "node_modules/a.c": ("main_code", "c", True, False), "Dockerfile": ("other", "other", False, False),
+        "x.egg-info/a.txt": ("documentation", "text", True, False),
+    }
+    path = F.col("path")
+    got = spark.createDataFrame([(k,) for k in want], "path string").select(
+        "path", p.file_type(path, ours), p.file_language(path, ours), p.is_code_file(path, ours), p.in_skipped_directory(path, ours)
+    )
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    lines = spark.createDataFrame([(k, 1, "x", "ann") for k in want], "path string, line_no long, content string, raw_author string")
+    booked = contributions(snapshot_entries(lines, read_author_config(spark, None), rules=ours)).collect()
+    assert {(r.type, r.lines) for r in booked} == {("main_code", 3), ("test_code", 1), ("build", 1), ("documentation", 1)}

@@ -10,6 +10,7 @@ from creditledger.operators.facts import window_facts
 from creditledger.sources.blame_dump import read_blame_dump
 from creditledger.operators.files import inventory
 from creditledger.sources.files import explode_lines, list_trees, read_author_config, read_ignore_rules, read_records, with_content
+from creditledger.sources import schemas
 from creditledger.sources.patch_log import parse_patch_lines, parse_patch_records, read_patch_log
 
 
@@ -304,3 +305,11 @@ def test_hidden_files_in_pieces(spark, tmp_path, piece):
         want = {name: text.split(separator) for name, text in texts.items()}
         want = {name: parts[:-1] if parts[-1] == "" else parts for name, parts in want.items()}
         assert got == {name: parts for name, parts in want.items() if parts}
+
+
+def test_readers_give_what_their_schemas_say(spark, tmp_path):
+    (tmp_path / "log").write_text(LOG)
+    shape = lambda schema: [(f.name, f.dataType) for f in schema]
+    assert shape(read_patch_log(spark, str(tmp_path)).schema) == shape(schemas.HUNKS)
+    assert shape(read_blame_dump(spark, str(tmp_path)).schema) == shape(schemas.DUMP_LINES)
+    assert shape(read_records(spark, str(tmp_path), "\n").schema) == shape(schemas.RECORDS)
