@@ -18,7 +18,9 @@ written to the shared folder in between. Documents are never shuffled.
 
 Defined cases: empty documents, no rows; no items, nothing is hit; null text, no
 words; items with null text, null id or no words are skipped; items that share an
-id count as one; repeated documents, each its own row. Further columns are kept.
+id count as one; repeated documents, each its own row. Further columns are kept. Ids of
+items that are whole numbers are taken as long, any others as text; a document's ids are
+only carried along, whatever their type.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditledger.llm.common import Ranges, alnum_words, flat, slices, stored
 
@@ -36,7 +39,7 @@ WINDOW = 13
 #: Documents with at least one in so many words hit are contaminated.
 COVERAGE = 20
 BLOCK_WORDS = 200_000
-SPANS = "struct<n_words:bigint,longest:bigint,starts:array<bigint>,ends:array<bigint>,items:array<bigint>>"
+SPANS = "struct<n_words:bigint,longest:bigint,starts:array<bigint>,ends:array<bigint>,items:array<{ids}>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -172,9 +175,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _id_kind(items: DataFrame) -> str:
+    return "bigint" if isinstance(items.schema["item_id"].dataType, T.IntegralType) else "string"
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int | str, list[bytes]]]]:
     block, size = [], 0
-    rows = items.select(F.col("item_id").cast("long"), "text").dropna()
+    rows = items.select(F.col("item_id").cast(_id_kind(items)), "text").dropna()
     for item, text in rows.toLocalIterator():
         words = words_of(text)
         if block and size + len(words) > block_words:
@@ -187,6 +194,8 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list
 
 def _marked(rows: DataFrame, automaton: Automaton) -> DataFrame:
     """Adds what the automaton finds to `_found`."""
+    of_items = rows.schema["_found"].dataType["items"].dataType.elementType
+    ids = pa.list_(pa.string() if isinstance(of_items, T.StringType) else pa.int64())
     shared = rows.sparkSession.sparkContext.broadcast(automaton)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +227,7 @@ def _marked(rows: DataFrame, automaton: Automaton) -> DataFrame:
                 rows.append(x | {"starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(x["items"])})
             numbers = pa.list_(pa.int64())
             kind = pa.struct(
-                [("n_words", pa.int64()), ("longest", pa.int64()), ("starts", numbers), ("ends", numbers), ("items", numbers)]
+                [("n_words", pa.int64()), ("longest", pa.int64()), ("starts", numbers), ("ends", numbers), ("items", ids)]
             )
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], batch.schema.names)
 
@@ -235,7 +244,7 @@ def benchmark_hits(
     """`keep` of every row of `docs`, and n_words, n_hit, longest (match of a
     window or more), starts and ends (the hit words, merged), items (ids)."""
     kept = list(keep)
-    nothing = F.lit(None).cast(SPANS).alias("_found")
+    nothing = F.lit(None).cast(SPANS.format(ids=_id_kind(items))).alias("_found")
     rows = docs.select(*(F.col(c) for c in kept), F.col("text").cast("binary").alias("_bytes"), nothing)
     for i, block in enumerate(_blocks(items, block_words)):
         rows = _marked(stored(rows, "hits") if i else rows, Automaton(block, window))

@@ -79,3 +79,11 @@ def test_contaminated_documents_go_and_others_are_left_alone(spark, table):
     assert benchmark_hits(table(rows), frame).filter(is_contaminated()).count() == 2
     cut = {r.doc_id: r.text for r in cut_hits(table(rows), frame).collect()}
     assert cut == {1: "", 2: filler + " ", 3: filler, 4: None, 5: " " + " ".join(["g"] * 246)}
+
+
+def test_ids_that_are_text(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([("b-9", words), ("a", words), ("10", "x y z"), (None, words)], "item_id string, text string")
+    docs = spark.createDataFrame([("d", f"so {words} it"), ("e", "x y z"), ("f", "no")], "doc_id string, text string")
+    got = {r.doc_id: sorted(r["items"]) for r in benchmark_hits(docs, items).collect()}
+    assert got == {"d": ["a", "b-9"], "e": ["10"], "f": []}
