@@ -4,7 +4,9 @@ Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card
 other long account numbers, IBANs, US social security numbers, secrets (access keys,
 tokens, passwords) and names of persons (a known given name or a form of address and
 the capitalised words after it, of any letters, with initials and particles between
-them; given names not in GIVEN are found after a form of address only). Telephone numbers
+them; given names not in GIVEN are found after a form of address or a title only, and
+count as family names). An initial ahead of a family name that the text has in full
+(`J. Smith` beside `John Smith`) stands for that person. Telephone numbers
 without separators count after a word for telephone, or where the same text has the number
 in another form. Every entity has a canonical form; its surrogate
 depends on that form and the key alone, so all mentions in all documents agree:
@@ -13,7 +15,8 @@ depends on that form and the key alone, so all mentions in all documents agree:
   numbers keep their first digit and whether their check digit is right, IBANs their
   country and a right check number, telephone numbers their country prefix, addresses
   their range, e-mails end in a domain reserved for examples;
-* an initial becomes another one, one to one; particles of a name stay;
+* an initial becomes the first letter of its person's surrogate where the text has that
+  name, else another one, one to one; particles of a name stay;
 * a given name becomes the next of its gender and script in an order set by the key,
   which is one to one; a family name becomes an invented one of the same script, and
   is replaced alone too where the document names the person in full.
@@ -66,7 +69,13 @@ _LETTER = r"[^\W\d_][\u0300-\u036f]*"
 _PART = re.compile(rf" ((?:{_LETTER})+(?:[-'’](?:{_LETTER})+)*)")
 _PARTICLES = set("af al av bin da dal de del della den der des di do dos du e el ibn la las le los ten ter van von y zu zum zur".split())
 _ELIDED = re.compile(r"(?:d|l|dell|dall)['’](?=(.))")
-_ADDRESSED = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b\.?(?= )")
+#: Forms of address and titles, which a name follows.
+TITLES = (
+    "Mr Mrs Ms Miss Mx Sir Dame Dr dr Doctor Prof prof Professor Rev Reverend Capt Captain Lt Sgt Judge Senator "
+    "Herr Herrn Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña Dott Ing г-н г-жа"
+)
+_ADDRESSED = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, TITLES.split())) + r")(?!\w)\.?(?= )")
+_BEFORE = re.compile(rf"(?<![\w.'’-])({_LETTER})(\.? |\.)$")
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names.split()}
 _GIVEN_WORD = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_GIVEN, key=len, reverse=True)) + r")(?![\w\u0300-\u036f])")
 
@@ -181,14 +190,21 @@ def _after(text: str, at: int) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def _folded(family: str) -> str:
+    return family.casefold().replace("’", "'")
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     found, families, end = [], set(), 0
+    people: dict[tuple[str, str], str] = {}  # family name and initial -> given name
     for m in _GIVEN_WORD.finditer(text):
         rest = _after(text, m.end()) if m.start() >= end else []
         # An initial alone is no name: 'Anna I ...'.
         if any(len(x[3]) > 1 for x in rest):
             found += [(*m.span(), "given", m.group()), *(x for x in rest if x[2] == "given")]
             families.update(x[3] for x in rest if x[2] == "family")
+            for family in (x[3] for x in rest if x[2] == "family"):
+                people.setdefault((_folded(family), m.group()[0]), m.group())
             end = rest[-1][1]
     for m in _ADDRESSED.finditer(text):
         rest = _after(text, m.end())
@@ -200,7 +216,12 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
         either = {f.replace("’", "'") for f in families}
         either |= {f.replace("'", "’") for f in either}
         spaced = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(either, key=len, reverse=True))) + r")(?![\w\u0300-\u036f-])")
-        found += [(*m.span(), "family", m.group().casefold().replace("’", "'")) for m in spaced.finditer(text)]
+        for m in spaced.finditer(text):
+            form = _folded(m.group())
+            found.append((*m.span(), "family", form))
+            initial = _BEFORE.search(text, max(0, m.start() - 5), m.start())
+            if initial and (given := people.get((form, initial.group(1)))):
+                found.append((*initial.span(1), "given", given))
     named = {x[3] for x in found if x[2] == "given" and len(x[3]) > 1}
     if named:
         # A given name that the document has in full is replaced where it stands alone.
@@ -299,6 +320,8 @@ class Surrogates:
             return surrogate.upper()
         if kind == "family":
             return surrogate.capitalize()
+        if kind == "given" and len(unicodedata.normalize("NFC", mention)) == 1:
+            return surrogate[0]
         return surrogate
 
 
