@@ -44,7 +44,7 @@ NESTED_RULES = (
     ("build", "!pom.xml"), ("roles/a", "tests/logo.svg"),
 )
 REPOSITORIES = 25
-LOG_DOCUMENTS, COMMIT_DOCUMENTS, SPLIT_LINES = 200, 40, 5
+LOG_DOCUMENTS, COMMIT_DOCUMENTS, SPLIT_LINES = 200, 40, 12
 #: Fifty overlapping windows over the events: (days after the first of January, length).
 WINDOWS = tuple((f"w{n:02}", n % 20, n % 20 + 1 + n // 3) for n in range(50))
 LINE_WINDOWS = (("all", None), *((f"after {n}", n) for n in range(5, 80, 15)))
@@ -265,7 +265,7 @@ def patch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patches of `patch_records`, 200 documents a log and 40 of them a commit, line by
-    line; the splits of a log are five lines long, so that commits and files span many."""
+    line; the splits of a log are twelve lines long, so that commits and files span many."""
     doc_id = F.col("doc_id")
     path = path_of(doc_id)
     first = F.concat(F.lit("@@COMMIT@@:"), F.lpad(doc_id.cast("string"), 40, "0"), F.lit("\tAuthor "), (doc_id % 7).cast("string"))

@@ -122,7 +122,9 @@ def parse_patch_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFram
     value = F.col("value")
     commit_line, hunk_line = value.startswith(marker), value.startswith(_HUNK_LINE)
     start, old = commit_line | value.startswith(_FILE_LINE), value.startswith(_OLD_LINE)
-    heads = lines.filter(start | hunk_line | old).select(
+    # Said here, as the join below would say it of one of its sides only, and part them.
+    placed = F.col("file").isNotNull() & F.col("split").isNotNull()
+    heads = lines.filter(placed & (start | hunk_line | old)).select(
         "file",
         "split",
         "seq",
@@ -133,9 +135,10 @@ def parse_patch_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFram
         F.regexp_extract(value, r"^@@ -(\d+(?:,\d+)?) \+\d+(?:,\d+)? @@", 1).alias("range"),
     )
     inside = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.withColumn("commit", F.last("_commit", ignorenulls=True).over(inside)).withColumn("_hunk", F.col("_stop"))
+    heads = heads.withColumn("commit", F.last("_commit", ignorenulls=True).over(inside))
     known = _in_force(heads.drop("_commit"), ["file", "split"], "seq")
-    end = F.max_by(F.struct("commit", "path", "stopped", "started"), "seq")
+    # With `range`, both uses of `known` read the same columns, hence one exchange.
+    end = F.max_by(F.struct("commit", "path", "stopped", "started", "range"), "seq")
     ends = known.groupBy("file", "split").agg(end.alias("end")).select(
         "file", "split", "end.commit", F.col("end.started").alias("_start"), F.col("end.path").alias("_path"), F.col("end.stopped").alias("_stop")
     )
@@ -154,7 +157,7 @@ def parse_patch_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFram
     commit = F.coalesce("commit", "carried_commit")
     ranges = F.split("range", ",")
     return (
-        known.filter("_hunk AND range <> ''")
+        known.filter("range <> ''")
         .join(carried, ["file", "split"])
         .select(
             F.substring_index(commit, "\t", 1).alias("commit_id"),
