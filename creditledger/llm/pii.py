@@ -69,12 +69,13 @@ _LETTER = r"[^\W\d_][\u0300-\u036f]*"
 _PART = re.compile(rf" ((?:{_LETTER})+(?:[-'’](?:{_LETTER})+)*)")
 _PARTICLES = set("af al av bin da dal de del della den der des di do dos du e el ibn la las le los ten ter van von y zu zum zur".split())
 _ELIDED = re.compile(r"(?:d|l|dell|dall)['’](?=(.))")
-#: Forms of address and titles, which a name follows.
-TITLES = (
-    "Mr Mrs Ms Miss Mx Sir Dame Dr dr Doctor Prof prof Professor Rev Reverend Capt Captain Lt Sgt Judge Senator "
-    "Herr Herrn Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña Dott Ing г-н г-жа"
+#: Forms of address and titles, which a name follows; those written in full take no point,
+#: as a sentence may end with them.
+SHORT_TITLES = "Mr Mrs Ms Miss Mx Dr dr Prof prof Rev Capt Lt Sgt Herr Herrn Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Srta г-н г-жа"
+FULL_TITLES = "Sir Dame Doctor Professor Reverend Captain Judge Senator Mademoiselle Señorita"
+_ADDRESSED = re.compile(
+    r"(?<![\w-])(?:(?:" + "|".join(SHORT_TITLES.split()) + r")(?!\w)\.?|(?:" + "|".join(FULL_TITLES.split()) + r"))(?= )"
 )
-_ADDRESSED = re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, TITLES.split())) + r")(?!\w)\.?(?= )")
 _BEFORE = re.compile(rf"(?<![\w.'’-])({_LETTER})(\.? |\.)$")
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names.split()}
 _GIVEN_WORD = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_GIVEN, key=len, reverse=True)) + r")(?![\w\u0300-\u036f])")

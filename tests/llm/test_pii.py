@@ -42,6 +42,7 @@ def kinds(text):
         ("prof. Olga Ivanova; Ivanova left", [("family", "Olga"), ("family", "Ivanova"), ("family", "Ivanova")]),
         ("John Smith wrote. J. Smith signed, K. Smith not.", [("given", "John"), ("family", "Smith"), ("given", "J"), ("family", "Smith"), ("family", "Smith")]),
         ("the dr. said so, a don of the sir", []),
+        ("She saw the Doctor. The man left. So did Sir. Then I. Ing. The end.", []),
     ],
 )
 def test_find(text, want):
