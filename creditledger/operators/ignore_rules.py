@@ -1,10 +1,15 @@
 """Ignore rules of many repositories as a table.
 
-Rules meet paths by equality on a literal key of each rule, laid out as rows: the whole
-glob if it has no wildcard, else a piece of its literal end or beginning, of a length
-that is a power of two. A path carries one key for each shape (kind and length) that its
-repository's rules have, so that it costs a few rows whatever the number of rules, and
-only candidates are tried with the regular expression. The last match by order decides.
+Of a rule that is said more than once in a directory only the last can decide, so that one
+is kept. Rules meet distinct paths by equality on a literal key of each rule, laid out as
+rows: the whole glob if it has no wildcard, else a piece of its literal end or beginning, of
+a length that is a power of two, or, where more than `CROWD` rules of the repository share
+that, the piece of the glob that the fewest share, wherever it stands. A path carries one key
+for each shape (kind and length) that its repository's rules have, or its distinct pieces of
+that length for those that may stand anywhere, so that it costs a number of rows that its
+length bounds whatever the number of rules, and only candidates are tried with the regular
+expression. The last match by order decides. Rules without a literal of two characters
+(`*`, `a*`, `?b?`) can crowd their keys and are tried with every path that has them.
 
 Two readings of a rule:
 
@@ -29,22 +34,28 @@ from creditledger.operators.joins import null_safe_join
 
 #: Lengths of literal keys.
 KEY_LENGTHS = (32, 16, 8, 4, 2, 1)
+#: Lengths of literal keys that may stand anywhere in a path.
+INSIDE_LENGTHS = (8, 4, 2)
+#: So many rules of a repository may share a key before another is looked for.
+CROWD = 32
 _SPECIAL = r"[\\.\[\](){}^$+|*?]"
-_SPACES = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
 
 
 def rule_lines(files: DataFrame, strict: bool = False) -> DataFrame:
     """repo, dir, file, line, glob, negate, dir_only from ignore files (repo, dir, text and,
     where several of them stand for one, their number `file`)."""
     number = F.col("file") if "file" in files.columns else F.lit(0).cast("long")
-    lines = files.select("repo", "dir", number.alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    said = F.col("said")
-    if strict:
-        # Blanks at the end go, unless a backslash holds the first of them.
-        said = F.regexp_replace(F.regexp_replace(said, r"\r$", ""), r"(?<!\\) +$", "")
-    else:
-        said = F.expr(f"trim(BOTH '{_SPACES}' FROM said)")
-    lines = lines.withColumn("said", said).filter((F.col("said") != "") & ~F.col("said").startswith("#"))
+
+    def trimmed(line: Column) -> Column:
+        if strict:
+            # Blanks at the end go, unless a backslash holds the first of them.
+            return F.regexp_replace(F.regexp_replace(line, r"\r$", ""), r"(?<!\\) +$", "")
+        return F.trim(line, F.lit(WHITE_SPACE))
+
+    # Trimmed ahead of the explode, so that each use of a line does not trim it anew.
+    said = F.transform(F.split("text", "\n", -1), trimmed)
+    lines = files.select("repo", "dir", number.alias("file"), F.posexplode_outer(said).alias("line", "said"))
+    lines = lines.filter((F.col("said") != "") & ~F.col("said").startswith("#"))
     negate = F.col("said").startswith("!")
     glob = F.when(negate, F.substring("said", 2, 2**31 - 1)).otherwise(F.col("said"))
     dir_only = F.col("glob").endswith("/")
@@ -101,47 +112,86 @@ def _strict_regex(directory: Column, glob: Column, anchored: Column) -> Column:
     return F.concat(F.lit("(?s)^"), above, free, F.array_join(F.transform(tokens, piece), ""), F.lit(r"\z"))
 
 
-def _piece_length(text: Column) -> Column:
+def _piece_length(text: Column, lengths: tuple[int, ...] = KEY_LENGTHS) -> Column:
     length = F.lit(0)
-    for n in reversed(KEY_LENGTHS):
+    for n in reversed(lengths):
         length = F.when(F.length(text) >= n, n).otherwise(length)
     return length
 
 
+def _key(kind: str, size: Column, literal: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), size.alias("size"), literal.alias("literal"))
+
+
+def _inside_keys(run: Column) -> Column:
+    """Keys that together cover a literal run of two characters or more."""
+    size = _piece_length(run, INSIDE_LENGTHS)
+    starts = F.array_union(F.sequence(F.lit(1), F.length(run) - size + 1, size), F.array(F.length(run) - size + 1))
+    return F.transform(starts, lambda at: _key("inside", size, run.substr(at, size)))
+
+
+def _last_said(lines: DataFrame) -> DataFrame:
+    """`lines` without those that a later line of the same directory says again, for or against."""
+    place = F.struct("file", "line")
+    return (
+        lines.groupBy("repo", "dir", "glob", "dir_only")
+        .agg(F.max(place).alias("place"), F.max_by("negate", place).alias("negate"))
+        .select("repo", "dir", "glob", "dir_only", "place.*", "negate")
+    )
+
+
+def _with_key(rules: DataFrame) -> DataFrame:
+    """Each of the distinct `rules` with one of its possible `keys`: the first of them that
+    no more than `CROWD` rules of the repository could have, else the rarest."""
+    rule = [c for c in rules.columns if c != "keys"]
+    # With the inner form Spark would look for empty keys in every line, ahead of `_last_said`.
+    options = rules.select(*rule, F.posexplode_outer("keys").alias("choice", "key")).select(*rule, "choice", "key.*")
+    place = ["repo", "kind", "size", "literal"]
+    shared = options.groupBy(*place).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.struct(F.greatest("shared", F.lit(CROWD)), "choice")
+    return null_safe_join(options, shared, place).groupBy(*rule).agg(F.min_by(F.struct(*place[1:]), rank).alias("key")).select(*rule, "key.*")
+
+
 def compile_rules(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """repo, depth, file, line, negate, dir_only, on_base, regex and the key (kind, size, literal)."""
+    """repo, depth, file, line, negate, dir_only, on_base, regex and the key (kind, size,
+    literal), for the last of the lines that say the same."""
     glob = F.col("glob")
+    anchored = glob.contains("/")
+    bare = F.regexp_replace(glob, "^/", "") if strict else glob
+    rules = _last_said(lines).select("*", bare.alias("bare"))
+    bare = F.col("bare")
     if strict:
-        anchored = glob.contains("/")
-        bare = F.regexp_replace(glob, "^/", "")
         above = F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/")))
-        rules = lines.select("*", anchored.alias("anchored"), bare.alias("bare"), above.alias("above")).select(
-            "*",
-            (~F.col("bare").rlike(r"[*?\[\\]")).alias("whole"),
-            _strict_regex(F.col("dir"), F.col("bare"), F.col("anchored")).alias("regex"),
-            F.when(F.col("anchored"), F.concat("above", F.regexp_extract("bare", r"^([^*?\[\\]*)", 1))).otherwise(F.col("above")).alias("head"),
-            F.regexp_extract("bare", r"([^*?\[\]\\/]*)$", 1).alias("tail"),
-            F.when(F.col("anchored"), F.concat("above", "bare")).otherwise(F.col("bare")).alias("literal_glob"),
-        )
+        wild, escape = r"[*?\[\\]", r"[\[\\]"
+        start = F.regexp_extract(bare, r"^([^*?\[\\]*)", 1)
+        head = F.when(anchored, F.concat(above, start)).otherwise(above)
+        tail = F.regexp_extract(bare, r"([^*?\[\]\\/]*)$", 1)
+        literal_glob = F.when(anchored, F.concat(above, bare)).otherwise(bare)
+        runs = F.concat(F.array(above), F.split(bare, r"[*?/]", -1))
     else:
-        rules = lines.select(
-            "*",
-            (~glob.rlike(r"[*?\\]")).alias("whole"),
-            _plain_regex(glob).alias("regex"),
-            F.regexp_extract("glob", r"^([^*?\\]*)", 1).alias("head"),
-            F.regexp_extract("glob", r"([^*?\\]*)$", 1).alias("tail"),
-            glob.alias("literal_glob"),
-        )
+        wild, escape = r"[*?\\]", r"\\"
+        head, tail = F.regexp_extract(bare, r"^([^*?\\]*)", 1), F.regexp_extract(bare, r"([^*?\\]*)$", 1)
+        literal_glob = bare
+        runs = F.split(bare, r"[*?]", -1)
+    rules = rules.select("*", head.alias("head"), tail.alias("tail"), literal_glob.alias("literal_glob"), runs.alias("runs"))
     head, tail = _piece_length(F.col("head")), _piece_length(F.col("tail"))
-    end = F.struct(F.lit("end").alias("kind"), tail.alias("size"), F.right("tail", tail).alias("literal"))
-    begin = F.struct(F.lit("begin").alias("kind"), head.alias("size"), F.left("head", head).alias("literal"))
-    whole = F.struct(F.lit("whole").alias("kind"), F.lit(0).alias("size"), F.col("literal_glob").alias("literal"))
-    none = F.struct(F.lit("any").alias("kind"), F.lit(0).alias("size"), F.lit("").alias("literal"))
-    key = F.when(F.col("whole"), whole).when((tail > 0) & (tail >= head), end).when(head > 0, begin).otherwise(none)
+    end, begin = _key("end", tail, F.right("tail", tail)), _key("begin", head, F.left("head", head))
+    ends = F.filter(F.when(tail >= head, F.array(end, begin)).otherwise(F.array(begin, end)), lambda key: key["size"] > 0)
+    # What stands between wildcards is literal if nothing is escaped or a class.
+    literal_runs = F.filter("runs", lambda run: (F.length(run) >= min(INSIDE_LENGTHS)) & ~bare.rlike(escape))
+    inside = F.flatten(F.transform(literal_runs, _inside_keys))
+    keys = (
+        F.when(~bare.rlike(wild), F.array(_key("whole", F.lit(0), F.col("literal_glob"))))
+        .when(F.size(ends) > 0, F.concat(ends, inside))
+        .otherwise(F.concat(F.array(_key("any", F.lit(0), F.lit(""))), inside))
+    )
+    rules = _with_key(rules.select("repo", "dir", "glob", "dir_only", "file", "line", "negate", "bare", F.array_distinct(keys).alias("keys")))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    regex = _strict_regex(F.col("dir"), bare, anchored) if strict else _plain_regex(glob)
     return rules.select(
-        "repo", depth.alias("depth"), "file", "line", "negate", "dir_only", F.lit(not strict).alias("on_base"), "regex", key.alias("key")
-    ).select("*", "key.*").drop("key")
+        "repo", depth.alias("depth"), "file", "line", "negate", "dir_only", F.lit(not strict).alias("on_base"), regex.alias("regex"),
+        "kind", "size", "literal",
+    )
 
 
 def verdicts(entities: DataFrame, rules: DataFrame) -> DataFrame:
@@ -156,13 +206,14 @@ def verdicts(entities: DataFrame, rules: DataFrame) -> DataFrame:
             F.when(kind == "whole", F.array(path, base))
             .when(kind == "end", F.array(F.right(path, size)))
             .when(kind == "begin", F.array(F.left(path, size), F.left(base, size)))
+            .when(kind == "inside", F.transform(F.sequence(F.lit(1), F.greatest(F.length(path) - size + 1, F.lit(1))), lambda at: path.substr(at, size)))
             .otherwise(F.array(F.lit("")))
         )
         return F.transform(F.array_distinct(texts), lambda text: F.struct(kind.alias("kind"), size.alias("size"), text.alias("literal")))
 
     keyed = (
         null_safe_join(entities.select("repo", "path", "is_dir"), shapes, ["repo"])
-        .select("repo", "path", "is_dir", F.explode(F.flatten(F.transform("shapes", keys))).alias("key"))
+        .select("repo", "path", "is_dir", F.explode_outer(F.flatten(F.transform("shapes", keys))).alias("key"))
         .select("repo", "path", "is_dir", "key.*")
     )
     tried = null_safe_join(keyed, rules, ["repo", "kind", "size", "literal"])
@@ -177,7 +228,7 @@ def verdicts(entities: DataFrame, rules: DataFrame) -> DataFrame:
 
 def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     """repo, path: files (repo, path) whose last matching plain rule ignores them."""
-    entities = files.select("repo", "path", F.lit(False).alias("is_dir"))
+    entities = files.select("repo", "path", F.lit(False).alias("is_dir")).distinct()
     return verdicts(entities, rules).filter("ignored").select("repo", "path")
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditledger.functions.ignore import is_ignored, parse_ignore_rules
-from creditledger.operators.ignore_rules import compile_rules, rule_lines, without_ignored
+from creditledger.operators.ignore_rules import CROWD, compile_rules, rule_lines, without_ignored
+from creditledger.plans.catalog import QUERIES
 
 NAMES = ["a", "b", "ab", "foo", "foo.py", "x.py", "Makefile", "build", "a.b", "c+d", "ü.md", "long_name_of_a_file_with_34_letters"]
 GLOBS = ["*.py", "foo", "build", "a*", "*b", "?", "a?b", "**/foo", "foo/**", "a/**/b", "src/*", "*", "long_name*letters", "*name_of_a_file*",
@@ -108,3 +109,46 @@ def test_strict_rules_equal_version_control(spark, tmp_path):
     kept = sorted(map(tuple, without_ignored(files, rules, strict=True).collect()))
     want = sorted({(r, p) for r, (_, paths) in repos.items() for p in paths} - set(gone))
     assert gone and kept == want
+
+
+def test_of_a_rule_said_again_only_the_last_counts(spark):
+    """A thousand files that say the same leave as many rules as one."""
+    texts = [(1, "", n, "*.py\n!a*.py\nb/\n" if n % 2 else "!*.py\na*.py\n") for n in range(1000)]
+    ignore_files = spark.createDataFrame(texts, "repo int, dir string, file long, text string")
+    files = spark.createDataFrame([(1, "a.py"), (1, "b.py"), (1, "a.py"), (1, None), (None, "a.py")], "repo int, path string")
+    for strict, n_rules in ((False, 3), (True, 3)):
+        rules = compile_rules(rule_lines(ignore_files, strict), strict)
+        assert rules.count() == n_rules
+        kept = [tuple(r) for r in without_ignored(files, rules, strict).collect()]
+        assert sorted(kept, key=str) == sorted([(1, "a.py"), (1, "a.py"), (1, None), (None, "a.py")], key=str)
+
+
+def test_many_different_rules_share_no_key(spark):
+    """Rules of one repository with the same beginning and end are told apart by a piece in between."""
+    names = [f"src/main/java/org/example/m{n % 10}/*Name_{n:04}*Test.java" for n in range(2000)]
+    lines = [("!" if n % 3 == 0 else "") + glob for n, glob in enumerate(names)] + [f"*x{n:03}y?" for n in range(200)] + ["*.md", "a.md", "??.md"]
+    ignore_files = spark.createDataFrame([(1, "", "\n".join(lines))], "repo int, dir string, text string")
+    paths = [name.replace("*", "q", 1).replace("*", "r") for name in names[:50]] + ["d/ax017yz", "ax017y", "ü/b.md", "aax199y"]
+    files = spark.createDataFrame([(1, p) for p in paths], "repo int, path string")
+    for strict in (False, True):
+        rules = compile_rules(rule_lines(ignore_files, strict), strict)
+        assert rules.groupBy("repo", "kind", "size", "literal").count().agg(F.max("count")).first()[0] <= CROWD
+        kept = sorted(r.path for r in without_ignored(files, rules, strict).collect())
+        assert kept == sorted([p for n, p in enumerate(paths[:50]) if n % 3 == 0] + ["ax017y", "aax199y"])
+
+
+def test_pieces_anywhere_find_what_the_fold_finds(spark, monkeypatch):
+    """Every rule goes by its rarest key."""
+    monkeypatch.setattr("creditledger.operators.ignore_rules.CROWD", 0)
+    test_table_equals_the_fold(spark)
+
+
+def test_pieces_anywhere_find_what_version_control_finds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("creditledger.operators.ignore_rules.CROWD", 0)
+    test_strict_rules_equal_version_control(spark, tmp_path)
+
+
+def test_rules_are_cut_before_their_keys_are_made(spark, small_dir):
+    """Neither keys nor expressions are made for lines that are said again."""
+    plan = QUERIES["ignore_rules_table"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
